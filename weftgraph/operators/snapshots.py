@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bitmap import Bitmap
-from ..session import partitions, small
+from ..session import partitions, ship, small
 
 #: Relations that don't count when edges are compared.
 IGNORED_RELATIONS = ("contains", "method", "succeeds", "defines", "uses", "local_flow")
@@ -140,6 +140,7 @@ def snapshot_changes(rows: DataFrame, log: DataFrame, known: DataFrame | None =
     * Rows with null repo, snapshot_no or key are no symbols and are left out. Other columns are ignored.
       Empty tables give no rows.
     """
+    ship(rows)
     of_repo = Window.partitionBy("repo").orderBy("snapshot_no")
     complete = (
         log.where("status = 'complete' and repo is not null and snapshot_no is not null")

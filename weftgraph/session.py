@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +54,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+_shipped: set[str] = set()
+
+
+def ship(df: DataFrame) -> None:
+    """Make this package importable in the Python workers of ``df``'s session, once per application."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = Path(__file__).parent
+    to = Path(tempfile.mkdtemp(prefix="weftgraph-")) / "weftgraph.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    sc.addPyFile(str(to))
+    _shipped.add(sc.applicationId)
