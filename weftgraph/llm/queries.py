@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table, tables
-from . import encode, mix, quality
+from . import encode, mix, origin, quality
+
+
+def p5_origins(spark: SparkSession, d: str) -> DataFrame:
+    return origin.file_origins(*tables(spark, d, "files", "file_texts", "upstream_files"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_origins(spark, d).where("p0 < 0.5").select("file_id")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -28,5 +36,5 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_statistics(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_mix, p7_shares, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_origins, p6_ids, p7_mix, p7_shares, p8_found, p8_statistics)}
 ORACLE: dict[str, str] = {}
