@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Relations by their number.
 RELATIONS = (
@@ -52,15 +51,16 @@ EXTENSIONS = {
 }
 LANGUAGE_OF = {e: lang for lang, exts in reversed(EXTENSIONS.items()) for e in exts}
 
-NODES = T.StructType.fromDDL(
+#: Schemas of the tables, as DDL.
+NODES = (
     "key string, repo string, path string, kind string, file_type string, name string, norm_name string, scope array<string>, line int, def_hash long, "
     "is_file boolean, is_callable boolean, is_external boolean, is_entrypoint boolean, arity int, param_index int, segment_id long, tier string"
 )
-EDGES = T.StructType.fromDDL(
+EDGES = (
     "edge_id long, src string, dst string, rel string, rel_id int, conf string, line int, context string, leave_site string, enter_site string, "
     "is_external boolean, owner_path string, segment_id long"
 )
-FILES = T.StructType.fromDDL("path string, repo string, lang string, content_hash long, mtime_nanos long, size long, had_parse_error boolean, segment_id long")
+FILES = ("path string, repo string, lang string, content_hash long, mtime_nanos long, size long, had_parse_error boolean, segment_id long")
 
 
 def fold_name(c: Column) -> Column:
