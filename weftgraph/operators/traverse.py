@@ -191,7 +191,7 @@ def value_paths(g: Graph, sinks: DataFrame, sources: DataFrame, sanitizers: Data
     return every.groupBy("sink", "source").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("p")).select("sink", "source", "p.path")
 
 
-def impact(g: Graph, roots: DataFrame, depth: int = 3, fanout: int = 100, most: int = 500) -> DataFrame:
+def impact(g: Graph, roots: DataFrame, depth: int = 3, fanout: int = 100, most: int | None = 500) -> DataFrame:
     """(key, depth, parent, via): what a change of ``roots`` (key) touches.
 
     Follows dependents against DEPENDS and values along ``flows_to``. A node wider than ``fanout`` is reported
@@ -220,7 +220,9 @@ def impact(g: Graph, roots: DataFrame, depth: int = 3, fanout: int = 100, most:
     if not found:
         return seen.limit(0).select("key", F.lit(0).alias("depth"), F.lit("").alias("parent"), F.lit("").alias("via"))
     out = reduce(DataFrame.unionByName, found).join(place.drop("ext"), "key")
-    return out.orderBy("depth", "via", "path", "line", "key").limit(most).select("key", "depth", "parent", "via")
+    if most is not None:
+        out = out.orderBy("depth", "via", "path", "line", "key").limit(most)
+    return out.select("key", "depth", "parent", "via")
 
 
 def owner_chain(g: Graph, keys: DataFrame, most: int = MOST_OWNERS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("changes",)
+_MODULES = ("changes", "graph")
 
 
 def _all(name: str) -> dict:
