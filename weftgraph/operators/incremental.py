@@ -8,13 +8,13 @@ manifest as it was, and the next one overwrites the same batch folder: nothing i
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import small
+from ..sources.versions import Versions
 
 
 def new_or_changed(listing: DataFrame, manifest: DataFrame, keys: list[str], checksum: list[str]) -> DataFrame:
@@ -33,32 +33,16 @@ def new_or_changed(listing: DataFrame, manifest: DataFrame, keys: list[str], che
 class Manifest:
     """A manifest of processed files in a folder of any file system Spark knows.
 
-    ``v<N>.json`` names the batch folders that make up version N; the highest one is current. A version is
-    written under another name and renamed, which fails if it exists already, so of two writers one wins.
+    Version N names the batch folders that make it up; the highest one is current. See ``Versions``.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: list[str], checksum: list[str]):
         self.spark, self.root, self.keys, self.checksum = spark, root.rstrip("/"), keys, checksum
-        jvm = spark._jvm
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(f"{self.root}/{p}")
-        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[int]:
-        if not self._fs.exists(self._path("")):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(""))]
-        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+        self.versions = Versions(spark, root)
 
     def _state(self) -> tuple[int, list[str]]:
-        v = self._versions()
-        if not v:
-            return 0, []
-        stream = self._fs.open(self._path(f"v{v[-1]}.json"))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return v[-1], json.loads(text)["batches"]
+        version, state = self.versions.read()
+        return version, state.get("batches", [])
 
     def processed(self, schema: str) -> DataFrame:
         """The latest entry of each key over all committed batches."""
@@ -88,17 +72,9 @@ class Manifest:
         fixed = self.spark.read.parquet(entries)
         process(listing.join(fixed.drop("_batch").withColumn("_in", F.lit(1)), [*self.keys, *self.checksum], "left_semi")).write.mode("overwrite").parquet(f"{self.root}/output/batch={batch}")
         n = fixed.count()
-        self._commit(version + 1, [*batches, batch])
+        self.versions.commit(version + 1, {"batches": [*batches, batch]})
         return n
 
-    def _commit(self, version: int, batches: list[str]) -> None:
-        tmp = self._path(f"_tmp-{version}-{batches[-1]}")
-        out = self._fs.create(tmp, True)
-        out.write(bytearray(json.dumps({"batches": batches}), "utf-8"))
-        out.close()
-        if self._fs.exists(self._path(f"v{version}.json")) or not self._fs.rename(tmp, self._path(f"v{version}.json")):
-            raise RuntimeError(f"version {version} was committed by another run")
-
     def output(self) -> DataFrame:
         """The results of all committed batches."""
         return self.spark.read.parquet(*(f"{self.root}/output/batch={b}" for b in self._state()[1]))

@@ -12,9 +12,9 @@ from ..sources.tables import table
 from ..vocab import BLAST_RADIUS, CALL_FLOW, ENTRYPOINTS, TAINT, WALK
 
 #: What the queries ask for.
-NAME, PREFIX, TEXT, OWNED, SEED_NAME, TERMS = "setup", "load", "ledger", "Get.setup", "main", "cursor packet kind:method"
+NAME, PREFIX, TEXT, OWNED, SEED_NAME, TERMS = "setup", "load", "ledger", "invoice_policy.java.verifyReport", "main", "cursor packet kind:method"
 SPEC = security.Spec("load-to-settle", (security.pattern("load*"),), (security.pattern("settle*"),), (security.pattern("audit*"),), mode="call-graph", max_hops=4)
-FLOW = security.Spec("decode-to-publish", (security.pattern("decode*"),), (security.pattern("publish*"),), (security.pattern("clamp*"),), max_hops=5, context_depth=3)
+FLOW = security.Spec("cell-to-load", (security.pattern("cell"),), (security.pattern("load*"),), (security.pattern("clamp*"),), max_hops=5, context_depth=3)
 
 
 def _seeds(g: Graph) -> DataFrame:
@@ -237,7 +237,7 @@ def d11_edge_filters(spark: SparkSession, d: str) -> DataFrame:
 
 def k1_matchers(spark: SparkSession, d: str) -> DataFrame:
     g = open_graph(spark, d)
-    asked = {"name": NAME, "prefix": "load*", "contains": "*ledger*", "suffix": "*cursor", "member": OWNED, "members": "Get.*"}
+    asked = {"name": NAME, "prefix": "load*", "contains": "*ledger*", "suffix": "*cursor", "member": "Get.setup", "members": "Get.*"}
     parts = [security.pattern(p).keys(g, stubs=True).select(F.lit(k).alias("matcher"), "key") for k, p in asked.items()]
     out = parts[0]
     for p in parts[1:]:
@@ -355,6 +355,20 @@ _AVOID = (
 ), pair as (select key as source, sink, min(hops) as hops from w where key <> sink and key in (select key from source) group by all)"""
 )
 
+_VALUES = f""", clean0 as (select key from n where starts_with(norm_name, 'clamp') and kind not in ('block', 'parameter') and ({_NAMED})),
+clean as (select key from clean0 union select dst from l join n on n.key = dst and n.kind = 'parameter' where rel = 'contains' and src in (select key from clean0)),
+sink0 as (select key from n where starts_with(norm_name, 'load') and kind not in ('block', 'parameter') and ({_NAMED})),
+sink as (select key from (select key from sink0 union select dst from l join n on n.key = dst and n.kind = 'parameter' where rel = 'contains' and src in (select key from sink0)) join n using (key)
+  where kind not in ('file', 'package', 'block', 'local') and key not in (select key from clean)),
+source as (select key from n where norm_name = 'cell' and kind not in ('file', 'package', 'block', 'local')),
+flow as (select dst as node, src as other, nullif(leave_site, '') as leave, nullif(enter_site, '') as enter from l where rel = 'flows_to' and src not in (select key from clean)),
+w(sink, key, stack, hops) as (
+  select key, key, []::varchar[], 0 from sink union
+  select sink, other, case when leave is null then p else list_append(case when len(p) >= {FLOW.context_depth} then p[len(p) - {FLOW.context_depth} + 2:] else p end, leave) end, hops + 1
+  from (select w.*, other, leave, case when enter is not null and len(stack) > 0 then stack[:len(stack) - 1] else stack end as p
+    from w join flow on node = key where hops < {FLOW.max_hops} and (len(stack) = 0 or stack[-1] <> '!' and (enter is null or enter = stack[-1])))
+)"""
+
 ORACLE = {
     "v1_live_nodes": G + " select kind, count(*) as n, count(distinct key) as keys from nodes join f using (path, segment_id) group by kind",
     "v2_canonical_nodes": G + " select key, path, kind, name, line, segment_id from n",
@@ -367,9 +381,9 @@ ORACLE = {
     "l4_prefix": G + f" select {_FOUND} from n where starts_with(norm_name, '{PREFIX}') and kind not in ('block', 'parameter') and ({_NAMED})",
     "l5_qualified_name": G
     + """, m as (
-  select n.key, n.name, n.kind, n.path, n.line, bool_or(o.name = 'Get') and any_value(n.name) = 'setup' as exact
-  from n join l on l.dst = n.key and l.rel in ('contains', 'method') join n o on o.key = l.src and (lower(o.name) = 'get' or list_extract(regexp_split_to_array(lower(o.name), '[/:]'), -1) = 'get')
-  where n.norm_name = 'setup' and n.kind <> 'block' group by all)
+  select n.key, n.name, n.kind, n.path, n.line, bool_or(o.name = 'invoice_policy.java') and any_value(n.name) = 'verifyReport' as exact
+  from n join l on l.dst = n.key and l.rel in ('contains', 'method') join n o on o.key = l.src and (lower(o.name) = 'invoice_policy.java' or list_extract(regexp_split_to_array(lower(o.name), '[/:]'), -1) = 'invoice_policy.java')
+  where n.norm_name = 'verifyreport' and n.kind <> 'block' group by all)
 select key, name, kind, path, line from m where exact or not (select bool_or(exact) from m) or (select count(*) from m) <= 1""",
     "l6_search": G + f" select key, name, kind, path from n where kind <> 'block' and (contains(norm_name, '{TEXT}') or contains(lower(path), '{TEXT}'))",
     "l6_search_by_trigrams": G + f" select key, name, kind, path from n where kind <> 'block' and (contains(norm_name, '{TEXT}') or contains(lower(path), '{TEXT}'))",
@@ -409,6 +423,11 @@ union all select 'files', count(*) from n where kind = 'file' union all select '
     "t3_blast_radius": G + _walk(BLAST_RADIUS, "in", 2) + " select key, depth from s where depth > 0",
     "t6_reachable_set": G + f", adj as {_adj(TAINT, 'out')}, w(key) as (select key from {_SEED} union select a.other from w join adj a on a.node = w.key) select key from w",
     "t7_paths_avoiding": G + _AVOID + " select source, sink, hops from pair",
+    "t8_value_paths": G + _VALUES + " select sink, key as source, min(hops)::int as hops from w where key <> sink and key in (select key from source) group by all",
+    "t10_owner_chain": G
+    + """, up as (select own.key, owner, o.name from own join n o on o.key = owner and o.kind <> 'file'),
+w(key, node, chain, d) as (select key, key, []::varchar[], 0 from n where kind in ('method', 'field', 'parameter') union select w.key, owner, list_prepend(up.name, chain), d + 1 from w join up on up.key = w.node where d < 16)
+select key, array_to_string(arg_max(chain, d), '.') as chain from w group by key""",
     "d2_subwords": G + f" select key, array_to_string({_subwords('name')}, ' ') as words from n where name is not null",
     "d3_name_quality": G + f", q as (select key, {_quality('name', _subwords('name'), 'cursor')} as quality from n) select * from q where quality is not null",
     "d4_path_quality": G
