@@ -7,9 +7,11 @@ import json
 import subprocess
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ..vocab import LANGUAGE_OF, language_of
 
 #: Folders that hold no source of the project.
@@ -81,8 +83,13 @@ def scan(spark: SparkSession, root: str, repo: str = "", ignore: Ignore | None =
     df = df.withColumn("path", path).where(is_indexable(F.col("path")))
     rules = ignore or (Ignore.of(local) if local.is_dir() else None)
     if rules and rules.rules:
-        paths = [r.path for r in df.select("path").collect() if rules.hides(r.path)] if local.is_dir() else []
-        df = df.where(~F.col("path").isin(*paths)) if paths else df
+        ship(df)
+
+        @F.pandas_udf("boolean")
+        def shown(paths: pd.Series) -> pd.Series:
+            return ~paths.map(rules.hides)
+
+        df = df.where(shown("path"))
     micros = F.unix_micros("modificationTime")
     return df.select(F.lit(repo).alias("repo"), "path", language_of(F.col("path")).alias("lang"), "content", F.xxhash64("content").alias("content_hash"), F.col("modificationTime").alias("mtime"), (micros * 1000).alias("mtime_nanos"), F.col("length").alias("size"))
 
