@@ -9,6 +9,7 @@ manifest as it was, and the next one overwrites the same batch folder: nothing i
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,12 +23,13 @@ def new_or_changed(listing: DataFrame, manifest: DataFrame, keys: list[str], che
 
     Repeated rows of ``listing`` stay; other columns of ``manifest`` are ignored.
     """
-    m = manifest.select(*(F.col(c).alias(f"_m_{c}") for c in keys + checksum)).distinct()
-    on = [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in keys + checksum]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return listing.join(m, cond, "left_anti")
+    return _known(listing, manifest, keys + checksum, "left_anti")
+
+
+def _known(listing: DataFrame, entries: DataFrame, cols: list[str], how: str) -> DataFrame:
+    e = entries.select(*(F.col(c).alias(f"_m_{c}") for c in cols)).distinct()
+    on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in cols))
+    return listing.join(e, on, how)
 
 
 class Manifest:
@@ -70,7 +72,7 @@ class Manifest:
         todo.select(*self.keys, *self.checksum, F.lit(batch).alias("_batch")).distinct().write.mode("overwrite").parquet(entries)
         # what is processed is what the entries say, even if the listing changes meanwhile
         fixed = self.spark.read.parquet(entries)
-        process(listing.join(fixed.drop("_batch").withColumn("_in", F.lit(1)), [*self.keys, *self.checksum], "left_semi")).write.mode("overwrite").parquet(f"{self.root}/output/batch={batch}")
+        process(_known(listing, fixed, self.keys + self.checksum, "left_semi")).write.mode("overwrite").parquet(f"{self.root}/output/batch={batch}")
         n = fixed.count()
         self.versions.commit(version + 1, {"batches": [*batches, batch]})
         return n
