@@ -48,6 +48,10 @@ class Graph:
 
     nodes: DataFrame
     edges: DataFrame
+    is_kept: bool = False
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        return cut(df) if self.is_kept else df
 
     @property
     def spark(self) -> SparkSession:
@@ -71,7 +75,7 @@ class Graph:
         side = lambda c: F.struct(F.col(c).alias("key"), F.lit(int(c == "src")).alias("degree_out"), F.lit(int(c == "dst")).alias("degree_in"))
         found = tree_sum(e.select(F.inline(F.array(side("src"), side("dst")))), ["key"], ["degree_out", "degree_in"])
         out, in_ = (F.coalesce(F.col(c), F.lit(0)) for c in ("degree_out", "degree_in"))
-        return self.nodes.select("key").join(found, "key", "left").select("key", out.alias("degree_out"), in_.alias("degree_in"), (out + in_).alias("degree_total"))
+        return self._keep(self.nodes.select("key").join(found, "key", "left").select("key", out.alias("degree_out"), in_.alias("degree_in"), (out + in_).alias("degree_total")))
 
     @cached_property
     def hub_cutoff(self) -> int:
@@ -82,12 +86,12 @@ class Graph:
     def hubs(self) -> DataFrame:
         """Keys of the hubs: at most a hundredth of the symbols, or those of degree 50 and more."""
         d = self.nodes.select("key", "kind").join(self.degrees, "key")
-        return d.where((F.col("kind").isNull() | ~F.col("kind").isin(*NOT_HUBS)) & (F.col("degree_total") >= self.hub_cutoff)).select("key")
+        return self._keep(d.where((F.col("kind").isNull() | ~F.col("kind").isin(*NOT_HUBS)) & (F.col("degree_total") >= self.hub_cutoff)).select("key"))
 
     @cached_property
     def owners(self) -> DataFrame:
         """(key, owner): who contains a symbol or has it as a method; the least key of several."""
-        return self.links.where(F.col("rel").isin(*OWNS)).groupBy(F.col("dst").alias("key")).agg(F.min("src").alias("owner"))
+        return self._keep(self.links.where(F.col("rel").isin(*OWNS)).groupBy(F.col("dst").alias("key")).agg(F.min("src").alias("owner")))
 
     def visible(self) -> DataFrame:
         """Nodes without orphaned stand-ins: external ones that nothing but ``contains`` leads to and that lead nowhere."""
@@ -104,8 +108,12 @@ class Graph:
         return {"out": out, "in": in_}[direction] if direction != "both" else out.unionByName(in_)
 
     def kept(self) -> Graph:
-        """The same graph with nodes and resolved edges written to the checkpoint folder, for many queries."""
-        g = Graph(cut(self.nodes), cut(self.links))
+        """The same graph with nodes and resolved edges written to the checkpoint folder, for many steps over it.
+
+        Degrees, hubs and owners are written too when first asked for. Unresolved edges are left out.
+        """
+        nodes = cut(self.nodes)
+        g = Graph(nodes, cut(Graph(nodes, self.edges).links), True)
         g.__dict__["links"] = g.edges
         return g
 
