@@ -182,20 +182,18 @@ def encode_corpus(docs: DataFrame, vocabulary: str | None = None, piece: int = P
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(found, pa.int64()) if counts_only else _lists(found)], [*kept, value.split()[0]])
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("_row", pa.int64()), ("nr", pa.int32()), ("continues", pa.bool_()), ("body", pa.binary())])
         for b in batches:
-            for row, text in zip(b["_row"].to_pylist(), _strings(b["text"])):
+            for k, text in enumerate(_strings(b["text"])):
                 cut = list(cut_text(text, piece))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row] * len(cut)), pa.array(range(len(cut)), pa.int32()), pa.array([x for x, _ in cut], pa.bool_()), pa.array([x for _, x in cut], pa.binary())],
-                    schema=schema,
-                )
+                same = [b[c].take(pa.array([k] * len(cut))) for c in ("_row", *kept)]
+                parts = [pa.array(range(len(cut)), pa.int32()), pa.array([x for x, _ in cut], pa.bool_()), pa.array([x for _, x in cut], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*same, *parts], ["_row", *kept, "nr", "continues", "body"])
 
     def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for b in batches:
             found = [np.asarray(c.text(x.decode()) if go is None else c.word(x), np.uint32) for go, x in zip(b["continues"].to_pylist(), b["body"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([b["_row"], b["nr"], b["continues"], _lists(found)], ["_row", "nr", "continues", "ids"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("_row", *kept, "nr", "continues")), _lists(found)], ["_row", *kept, "nr", "continues", "ids"])
 
     def whole(table: pa.Table) -> pa.Table:
         c, table = codec(shared.value), table.sort_by("nr")
@@ -216,11 +214,10 @@ def encode_corpus(docs: DataFrame, vocabulary: str | None = None, piece: int = P
                 open_.append(ids.as_py())
         close()
         found = np.concatenate(done)
-        return pa.table({"_row": table["_row"][:1], ("n_tokens" if counts_only else "ids"): pa.array([len(found)], pa.int64()) if counts_only else _lists([found])})
+        return pa.table({c: table[c][:1] for c in kept} | {value.split()[0]: pa.array([len(found)], pa.int64()) if counts_only else _lists([found])})
 
     short = rows.where(~is_long).select(*kept, "text").mapInArrow(direct, out)
-    long_rows = rows.where(is_long)
-    cut = long_rows.select("_row", "text").mapInArrow(pieces, "_row long, nr int, continues boolean, body binary")
-    encoded = cut.repartition("_row", "nr").mapInArrow(parts, "_row long, nr int, continues boolean, ids array<int>")
-    joined = encoded.groupBy("_row").applyInArrow(whole, "_row long, " + value)
-    return short.unionByName(long_rows.select("_row", *kept).join(joined, "_row").drop("_row"))
+    fields = "_row long, " + out.removesuffix(value) + "nr int, continues boolean, "
+    cut = rows.where(is_long).mapInArrow(pieces, fields + "body binary")
+    encoded = cut.repartition("_row", "nr").mapInArrow(parts, fields + "ids array<int>")
+    return short.unionByName(encoded.groupBy("_row").applyInArrow(whole, out))
