@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small
@@ -47,7 +47,11 @@ def changes(old: Graph, new: Graph) -> DataFrame:
         .when((F.col("a.def_hash") != F.col("b.def_hash")) | (unknown & edges), "definition").when(edges, "bindings")
     )
     found = both.withColumn("what", what).where("what is not null")
-    signed = found.select("key", F.explode(F.concat(*(F.transform(F.coalesce(F.col(f"{x}.edges.rel"), F.array().cast("array<string>")), lambda r, s=s: F.struct(r.alias("rel"), F.lit(s).alias("s"))) for x, s in (("a", -1), ("b", 1))))).alias("e"))
+    def signed_rels(side: str, sign: int) -> Column:
+        rels = F.coalesce(F.col(f"{side}.edges.rel"), F.array().cast("array<string>"))
+        return F.transform(rels, lambda r: F.struct(r.alias("rel"), F.lit(sign).alias("s")))
+
+    signed = found.select("key", F.explode(F.concat(signed_rels("a", -1), signed_rels("b", 1))).alias("e"))
     delta = signed.groupBy("key", "e.rel").agg(F.sum("e.s").alias("n")).where("n <> 0").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rel", "n"))).alias("edge_delta"))
     pick = lambda c: F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c)
     none = F.array().cast("array<struct<rel:string,n:bigint>>")
