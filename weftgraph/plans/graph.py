@@ -369,6 +369,22 @@ w(sink, key, stack, hops) as (
     from w join flow on node = key where hops < {FLOW.max_hops} and (len(stack) = 0 or stack[-1] <> '!' and (enter is null or enter = stack[-1])))
 )"""
 
+_EXPLAIN = (
+    ", h as ("
+    + " union all ".join(
+        f"select '{label}' as label, {a} as key, {b} as other, edge_id, rel, context from l where rel in ({', '.join(repr(r) for r in rels)})"
+        for label, d, rels in lookup.GROUPS
+        for a, b in ([("src", "dst")] if d == "out" else [("dst", "src")])
+    )
+    + """), u as (
+  select distinct h.key, label, other, n.path, n.line, case when rel = 'local_flow' then coalesce(context, '') else '' end as note
+  from h join n o on o.key = h.key and o.kind in ('class', 'function', 'local') join n on n.key = other
+  where (label <> 'members' or n.kind not in ('parameter', 'block', 'local')) and (label not in ('assigned from', 'read into', 'defined / used in blocks') or o.kind = 'local')
+), r as (
+  select *, (row_number() over (partition by key, label order by path nulls first, line nulls first, other, note))::int as rank, count(*) over (partition by key, label) as total from u
+) select key, label, rank, total, other, note from r where rank <= 5"""
+)
+
 ORACLE = {
     "v1_live_nodes": G + " select kind, count(*) as n, count(distinct key) as keys from nodes join f using (path, segment_id) group by kind",
     "v2_canonical_nodes": G + " select key, path, kind, name, line, segment_id from n",
@@ -397,6 +413,7 @@ select function, b.block, index, coalesce(len(s), 0)::int as n_succ,
   coalesce(array_to_string(list_transform(s, lambda x: concat_ws(' ', x.i::varchar, x.l)), '|'), '') as succ
 from b left join s on s.block = b.block""",
     "l11_counts": G + " select count(*) as symbols, ((select count(*) from nodes) + (select count(*) from library_stubs))::int as id_space from n",
+    "l12_explain": G + _EXPLAIN,
     "l13_ranked_search": G
     + f" select n.key, name, (case when norm_name = '{TEXT}' then 0 when starts_with(norm_name, '{TEXT}') then 1 when contains(norm_name, '{TEXT}') then 2 else 3 end)::int as tier, degree_total::bigint as degree from n join deg using (key) where n.kind <> 'block' and (contains(norm_name, '{TEXT}') or contains(lower(path), '{TEXT}'))",
     "i1_degrees": G + " select key, degree_out::bigint as degree_out, degree_in::bigint as degree_in, degree_total::bigint as degree_total from deg",
