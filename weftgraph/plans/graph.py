@@ -9,7 +9,7 @@ from ..functions.text import name_quality, path_quality, subwords
 from ..operators import deep, index, lookup, security, traverse
 from ..operators.view import Graph, live_rows, open_graph
 from ..sources.tables import table
-from ..vocab import BLAST_RADIUS, CALL_FLOW, ENTRYPOINTS, TAINT, WALK
+from ..vocab import BLAST_RADIUS, CALL_FLOW, DATA_FLOW, DEPENDS, ENTRYPOINTS, TAINT, WALK
 
 #: What the queries ask for.
 NAME, PREFIX, TEXT, OWNED, SEED_NAME, TERMS = "setup", "load", "ledger", "invoice_policy.java.verifyReport", "main", "cursor packet kind:method"
@@ -441,6 +441,15 @@ union all select 'files', count(*) from n where kind = 'file' union all select '
     "t6_reachable_set": G + f", adj as {_adj(TAINT, 'out')}, w(key) as (select key from {_SEED} union select a.other from w join adj a on a.node = w.key) select key from w",
     "t7_paths_avoiding": G + _AVOID + " select source, sink, hops from pair",
     "t8_value_paths": G + _VALUES + " select sink, key as source, min(hops)::int as hops from w where key <> sink and key in (select key from source) group by all",
+    "t9_impact": G
+    + f""", step as (select distinct node, other, 'depends' as via from {_adj(DEPENDS, "in")} union all select distinct node, other, 'value' from {_adj(DATA_FLOW, "out")}),
+wide as (select node from step group by node having count(distinct other) > 100), ext as (select key from n where coalesce(is_external, false)),
+w(key, depth) as (
+  select key, 0 from {_SEED} union
+  select other, depth + 1 from w join step on node = key where depth < 2 and node <> other and key not in (select node from wide) and (depth = 0 or key not in (select key from ext))
+), s as (select key, min(depth) as depth from w group by key)
+select s.key, s.depth, min(via) as via from s join step on step.other = s.key and step.node <> s.key join s p on p.key = step.node and p.depth = s.depth - 1
+where s.depth > 0 and p.key not in (select node from wide) and (p.depth = 0 or p.key not in (select key from ext)) group by all""",
     "t10_owner_chain": G
     + """, up as (select own.key, owner, o.name from own join n o on o.key = owner and o.kind <> 'file'),
 w(key, node, chain, d) as (select key, key, []::varchar[], 0 from n where kind in ('method', 'field', 'parameter') union select w.key, owner, list_prepend(up.name, chain), d + 1 from w join up on up.key = w.node where d < 16)
