@@ -254,11 +254,11 @@ def k10_live_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k11_call_graph_audit(spark: SparkSession, d: str) -> DataFrame:
-    return security.audit(open_graph(spark, d).kept(), SPEC).drop("path")
+    return security.audit(open_graph(spark, d).kept(), SPEC).select("rule", "source", "sink", "hops", "live")
 
 
 def k12_dataflow_audit(spark: SparkSession, d: str) -> DataFrame:
-    return security.audit(open_graph(spark, d).kept(), FLOW).drop("path")
+    return security.audit(open_graph(spark, d).kept(), FLOW).select("rule", "source", "sink", "hops", "live")
 
 
 def k16_package_reach(spark: SparkSession, d: str) -> DataFrame:
@@ -385,6 +385,8 @@ _EXPLAIN = (
 ) select key, label, rank, total, other, note from r where rank <= 5"""
 )
 
+_LIVE = f", flow_ as {_adj(CALL_FLOW, 'out')}, lv(key) as (select key from {_ENTRY} union select a.other from lv join flow_ a on a.node = lv.key)"
+
 ORACLE = {
     "v1_live_nodes": G + " select kind, count(*) as n, count(distinct key) as keys from nodes join f using (path, segment_id) group by kind",
     "v2_canonical_nodes": G + " select key, path, kind, name, line, segment_id from n",
@@ -469,5 +471,12 @@ union all select 'member', key from n where kind not in ('parameter', 'local', '
 union all select 'members', key from n where kind not in ('parameter', 'local', 'block') and key in (select dst from getter)""",
     "k9_entrypoints": G + f", live0 as {_ENTRY} select key from live0",
     "k10_live_set": G + f", adj as {_adj(CALL_FLOW, 'out')}, w(key) as (select key from {_ENTRY} union select a.other from w join adj a on a.node = w.key) select key from w",
+    "k11_call_graph_audit": G + _AVOID + _LIVE + f" select '{SPEC.id}' as rule, source, sink, hops, source in (select key from lv) as live from pair",
+    "k12_dataflow_audit": G + _VALUES + _LIVE + f""", pair as (select sink, key as source, min(hops)::int as hops from w where key <> sink and key in (select key from source) group by all),
+inner_ as (select own.key from own join n on n.key = own.key and n.kind = 'parameter' where owner in (select key from lv))
+select '{FLOW.id}' as rule, source, sink, hops, source in (select key from lv) or source in (select key from inner_) as live from pair""",
+    "k16_package_reach": G + _LIVE + """, top as (select n.name from l join n on n.key = l.dst and n.kind = 'package' where l.rel = 'depends_on' group by n.name order by count(*) desc, n.name limit 1)
+select distinct u.key, u.path, coalesce(u.path in (select n.path from n join lv using (key) where n.path is not null), false) as live
+from l join n p on p.key = l.dst and p.kind = 'package' and p.norm_name in (select lower(name) from top) join n u on u.key = l.src where l.rel = 'depends_on'""",
     "k17_packages": G + " select n.name, count(*) as importers from l join n on n.key = l.dst and n.kind = 'package' where l.rel = 'depends_on' group by n.name",
 }
