@@ -387,6 +387,10 @@ _EXPLAIN = (
 
 _LIVE = f", flow_ as {_adj(CALL_FLOW, 'out')}, lv(key) as (select key from {_ENTRY} union select a.other from lv join flow_ a on a.node = lv.key)"
 
+_COMPONENTS = f""", adj as (select distinct node, other from {_adj(TAINT, 'out')}),
+reach(a, b) as (select node, other from adj union select r.a, x.other from reach r join adj x on x.node = r.b),
+part as (select n.key, least(n.key, coalesce(m.least, n.key)) as component from n left join (select x.a, min(x.b) as least from reach x join reach y on y.a = x.b and y.b = x.a group by x.a) m on m.a = n.key)"""
+
 ORACLE = {
     "v1_live_nodes": G + " select kind, count(*) as n, count(distinct key) as keys from nodes join f using (path, segment_id) group by kind",
     "v2_canonical_nodes": G + " select key, path, kind, name, line, segment_id from n",
@@ -420,6 +424,8 @@ from b left join s on s.block = b.block""",
     + f" select n.key, name, (case when norm_name = '{TEXT}' then 0 when starts_with(norm_name, '{TEXT}') then 1 when contains(norm_name, '{TEXT}') then 2 else 3 end)::int as tier, degree_total::bigint as degree from n join deg using (key) where n.kind <> 'block' and (contains(norm_name, '{TEXT}') or contains(lower(path), '{TEXT}'))",
     "i1_degrees": G + " select key, degree_out::bigint as degree_out, degree_in::bigint as degree_in, degree_total::bigint as degree_total from deg",
     "i2_hub_cutoff": G + " select cutoff::bigint as cutoff from cut",
+    "i3_components": G + _COMPONENTS + " select key, component from part",
+    "i4_condensation": G + _COMPONENTS + " select distinct a.component as src, b.component as dst from adj join part a on a.key = node join part b on b.key = other where a.component <> b.component",
     "i7_name_postings": G + " select norm_name, count(*) as n, min(key) as first_key from n where kind <> 'block' and norm_name is not null group by norm_name",
     "i8_trigrams": G
     + ", t as (select key, concat_ws(chr(0), norm_name, lower(path)) as t from n where kind <> 'block') select gram, count(*) as n from (select distinct key, unnest(list_transform(range(1, greatest(length(t) - 1, 1)), lambda i: substr(t, i, 3))) as gram from t where length(t) >= 3) group by gram",
