@@ -18,10 +18,12 @@ from .view import Graph
 
 #: Owners above one symbol that are followed at most.
 MOST_OWNERS = 16
+#: Rows up to which a frontier is broadcast; its rows carry paths of at most as many keys as there are hops.
+FRONTIER_ROWS = 50_000
 
 
 def _level(adj: DataFrame, frontier: DataFrame, on: str = "node") -> DataFrame:
-    return adj.join(small(frontier), on)
+    return adj.join(small(frontier, FRONTIER_ROWS), on)
 
 
 def neighbors(g: Graph, seeds: DataFrame, direction: str = "out", mask: frozenset[str] = WALK) -> DataFrame:
