@@ -34,6 +34,20 @@ def test_not_prose(spark):
     assert quality.not_prose(df.limit(0)).count() == 0
 
 
+FORM = "\n".join(f"{k}. Name: ____ [ ] the {k * 31}-{k}" for k in range(1, 30))
+SOUP = "the of and to in that " * 30
+GERMAN = "Das Gericht hat den Brief geprüft und stellt fest, dass er nicht zur Zeit gesandt wurde. Daraus folgt, dass die Klage keinen Erfolg haben kann und jede Seite ihre Kosten trägt. "
+VORDRUCK = "\n".join(f"{k}. Name der Partei: ____ [ ] {k * 31}-{k}" for k in range(1, 30))
+
+
+@pytest.mark.parametrize("copied", [FORM, LIST, TABLE, NAMES, SOUP, VORDRUCK])
+def test_third_of_rows_is_one_junk_text(spark, copied):
+    rows = [(k, PROSE * (1 + k % 5)) for k in range(180)] + [(k, GERMAN * (1 + k % 5)) for k in range(180, 240)]
+    bad = {1000 + k: copied for k in range(140)} | {2000: FORM, 2001: LIST, 2002: TABLE, 2003: NAMES, 2004: "qx7" * 400, 2005: SOUP, 2006: "same line\n" * 60}
+    df = spark.createDataFrame(rows + list(bad.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in quality.not_prose(df).collect()) == sorted(bad)
+
+
 def test_percentiles(spark):
     df = spark.createDataFrame([(k, PROSE + "- " * k) for k in range(100)], "doc_id long, text string")
     stats = quality.text_statistics(df)

@@ -1,8 +1,8 @@
 """Per-document text statistics, and the documents that are no natural prose.
 
 Each statistic is sketched per language by a mergeable quantile sketch (KLL) over all documents. Values
-become percentiles and robust z-scores (distance from the median in units of the interquartile range),
-and a document in a tail that prose doesn't reach is flagged.
+become percentiles and robust z-scores (distance from the median in units of the smaller of the two quarters
+beside it), and a document in a tail that prose doesn't reach is flagged.
 """
 
 from __future__ import annotations
@@ -165,17 +165,21 @@ def scored(stats: DataFrame, by_lang: DataFrame) -> DataFrame:
     """``stats`` with a robust z-score (``<statistic>_z``) and a percentile (``<statistic>_pct``) of each
     statistic within the language, and ``in_tail``.
 
-    A document of unknown language, or of one with few documents, is held against all languages.
+    The unit of z is the smaller of the quarters below and above the median, which junk of less than half of the
+    rows can't widen, whatever side it lies on. A document of unknown language, of one with few documents, or of
+    one whose median is itself in a tail of all (most of it is junk), is held against all languages.
     Documents without words have null scores and are in no tail.
     """
     q = lambda s, p: F.kll_sketch_get_quantile_double(s, F.lit(p))
     grid = F.array(*map(F.lit, GRID))
-    units = {s: F.greatest((q(s, 0.75) - q(s, 0.25)) / 1.349, F.lit(floor)) for s, (floor, _) in STATISTICS.items()}
+    units = {s: F.greatest(F.least(q(s, 0.75) - q(s, 0.5), q(s, 0.5) - q(s, 0.25)) / 0.6745, F.lit(floor)) for s, (floor, _) in STATISTICS.items()}
     fit = by_lang.where((F.col("lang") == "*") | ((F.col("lang") != "") & (F.col("n") >= DOCUMENTS_LEAST))).select(
         "lang", *(q(s, 0.5).alias(f"_m_{s}") for s in STATISTICS), *(F.kll_sketch_get_quantile_double(s, grid).alias(f"_k_{s}") for s in STATISTICS), *(u.alias(f"_u_{s}") for s, u in units.items())
     )
     # one row per known language at most, and one for all
-    known = F.broadcast(fit.select("lang").where("lang <> '*'").select(F.col("lang").alias("lang_found"), F.lit(True).alias("_known")))
+    every = fit.where("lang = '*'").select(*(F.col(f"_{c}_{s}").alias(f"_a{c}_{s}") for c in "mu" for s in STATISTICS))
+    own = fit.where("lang <> '*'").crossJoin(F.broadcast(every)).where(~_tails({s: (F.col(f"_m_{s}") - F.col(f"_am_{s}")) / F.col(f"_au_{s}") for s in STATISTICS}))
+    known = F.broadcast(own.select(F.col("lang").alias("lang_found"), F.lit(True).alias("_known")))
     rows = _with_log(stats).join(known, "lang_found", "left").withColumn("_lang", F.when(F.col("_known"), F.col("lang_found")).otherwise("*"))
     fit = fit.withColumnRenamed("lang", "_lang")
     rows = rows.join(F.broadcast(fit), "_lang", "left")
