@@ -49,6 +49,17 @@ def test_long_unsplit_words(codec):
         assert in_pieces(codec, text, 1000) == codec.text(text).tolist()
 
 
+@pytest.mark.parametrize("blank", ["\n\n", "\r\n", "\r\n\r\n", " \n", "\n\n ", "\t\t", "\u3000\u3000", "\n" * 50])
+def test_white_space_before_a_cut(spark, codec, blank):
+    texts = ["abc" + blank + "x" * 400, "abc" + blank + "=" * 400 + blank + "漢" * 400 + blank, blank + "9" * 400 + blank + "é" * 300, "漢" * 39 + blank + "漢" * 300, ("漢" * 7 + blank) * 60]
+    for text in texts:
+        for piece in (8, 20, 40, 41, 42):
+            assert in_pieces(codec, text, piece) == codec.text(text).tolist()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: list(r.ids) for r in encode.encode_corpus(df, piece=40).collect()} == {k: codec.text(t).tolist() for k, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in encode.encode_corpus(df, piece=40, counts_only=True).collect()} == {k: len(codec.text(t)) for k, t in enumerate(texts)}
+
+
 def test_corpus(spark, codec):
     big = "word " * 3000 + "x" * 5000 + "'s " + "ab" * 4000
     rows = [(1, "Hello world", "x"), (2, None, "x"), (3, "", "x"), (4, "  \n ", "x"), (5, "<|endoftext|> a", "x"), (6, big, "x"), (6, big, "x"), (None, big, "x")]

@@ -111,11 +111,11 @@ def cut_text(text: str, piece: int = PIECE) -> Iterator[tuple[bool | None, bytes
     """The pieces of a text in order, as (continues, bytes of UTF-8).
 
     ``continues`` is None for a piece of whole words, False for the first and True for each later part of
-    one word that is longer than a piece.
+    one word that is longer than a piece. A word of white space before a cut is False alone.
     """
     import regex
 
-    words, at, n = regex.compile(PATTERN), 0, len(text)
+    words, blank, at, n = regex.compile(PATTERN), regex.compile(r"\s"), 0, len(text)
     start = at
     while n - start > piece:
         # after a letter, digit or ASCII sign a word ends before a blank, whatever comes before or after
@@ -125,14 +125,22 @@ def cut_text(text: str, piece: int = PIECE) -> Iterator[tuple[bool | None, bytes
             start = end
             continue
         # no such place: go word by word from here, which is the start of a word, to the next one
-        at = start
+        at = end = start
+        blanks: list[str] = []
         while at < n and at - start <= piece:
             to = words.match(text, at).end()
             if to - at > piece:
                 break
+            if blank.match(text, to - 1):
+                blanks.append(text[at:to])
+            else:
+                blanks, end = [], to
             at = to
-        if at > start:
-            yield None, text[start:at].encode("utf-8", "replace")
+        if end > start:
+            yield None, text[start:end].encode("utf-8", "replace")
+        # white space at the end of a piece would be one word there, but may be two where text follows
+        for x in blanks:
+            yield False, x.encode("utf-8", "replace")
         if at < n and to != at:
             data = text[at:to].encode("utf-8", "replace")
             for k in range(0, len(data), piece):
