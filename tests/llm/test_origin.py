@@ -75,6 +75,33 @@ def test_evidence(spark):
     assert got == {k: want for k, (*_, want) in enumerate(CASES)}
 
 
+NOTICE = "Code generated by protomill 3.1. DO NOT EDIT."
+LICENCE = "".join(f"// Clause {w} of the licence holds.\n" for w in "abcdefghijklmnopqrstuvwxyzabcdefghijklmnop")
+NOTICES = [
+    (HAND * 6 + f"\n# {NOTICE}\n", True),
+    (HAND * 6 + f"# {NOTICE}", True),
+    (HAND * 6 + "\n/*****\n  Fichier produit par\n  l'outil trame 3\n*****/\n\n", True),
+    (LICENCE + f"// {NOTICE}\n" + HAND, True),
+    (LICENCE + f"\n/*\n * {NOTICE}\n */\n" + HAND, True),
+    (HAND * 6 + f"\n# {NOTICE}\n\n" + HAND, True),
+    (HAND * 6 + f"\nHEADER = '{NOTICE}'\n", False),
+    (HAND * 6 + f'\nHEADER = """\n# {NOTICE}\n\n"""\nFOOT = "{NOTICE}"\n', False),
+    (HAND * 6 + f"\nconst header = `\n// {NOTICE}\n\n`;\n", False),
+    (HAND * 6 + '\ndef rows():\n    """Rows generated by the planner."""\n\n    return 1\n', False),
+    (HAND * 6 + "\n# Rows generated by the planner.\ndef rows():\n    return 1\n", False),
+]
+
+
+@pytest.mark.parametrize("k", range(len(NOTICES)))
+def test_notices_below_the_top(k):
+    text, there = NOTICES[k]
+    assert origin.features(text)[origin.FEATURES.index("notice")] == float(there)
+
+
+def test_holder_at_the_foot():
+    assert origin.features(HAND * 6 + "\n// Copyright (c) 2020 the otherlib contributors\n")[-1] == "otherlib"
+
+
 def test_origins(spark):
     texts = [(1, HAND, "x"), (2, THEIRS, "x"), (3, THEIRS.replace("oak", "tree") + "\n", "x"), (4, THEIRS[:150] + "\n" + HAND * 4, "x"), (5, None, "x"), (6, "", "x"), (7, HAND, "x"), (7, HAND, "x"), (8, "  \n", "x"), (None, "x", "x")]
     files = [(k, "r", f"src/d{k % 2}/f{k}.c", 1, "y") for k in range(1, 7)] + [(2, "r", "old/place.c", 0, "y"), (8, None, None, None, "y"), (None, "r", "z", 1, "y")]

@@ -27,7 +27,7 @@ LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 FILE_AND_DIR, DIR_AND_PARENT = 0.5, 0.8
 #: Words of a shingle, and the share of a file's shingles in one third-party file from which on it is mainly taken from it.
 SHINGLE, MAINLY = 5, 0.55
-#: Lines at the top searched for notices.
+#: Lines at the top of which every comment is searched for notices.
 TOP_LINES = 30
 #: A line is long from so many characters on.
 LONG_LINE = 130
@@ -62,28 +62,61 @@ _HOLDER = re.compile(r"copyright\s*(?:\(c\)|©)?[\W\d]*(?:the )?([\w.+-]+)")
 _TOKEN = re.compile(r"[A-Za-z_]\w*|\d+|[^\s\w]")
 _LITERAL = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|\b0x[0-9a-fA-F]+\b|\b\d[\d.]*[a-zA-Z]?\b|(?<![\w\"'])(?:[^\s;,]{1,40}[;,|\t]){3,}[^\s;,]{0,40}$", re.M)
 _INDEX = re.compile(r"(?<=[A-Za-z_=(\[\"])\d{1,6}\b|^\s*\"?\d{1,6}(?=[;,|])")
+_DIRECTIVE = re.compile(r"#\s*(?:include|define|if|else|endif|pragma|import|undef)")
+_STRING = re.compile(r"""\"{3}.*?\"{3}|'{3}.*?'{3}|`[^`]*`|(\"{3}|'{3}|`)|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'""")
 _OPEN, _CLOSE = ("/*", '"""', "'''", "=begin", "<!--"), ("*/", '"""', "'''", "=end", "-->")
 
 
+def _opens(line: str) -> str | None:
+    """The sign of a string that begins in a line of code and isn't closed there."""
+    if "`" not in line and '"""' not in line and "'''" not in line:
+        return None
+    return next((m[1] for m in _STRING.finditer(line) if m[1]), None)
+
+
 def _comments(text: str) -> str:
-    """The comments in the top lines, without their signs, as one lower-case line."""
-    out, inside = [], None
-    for line in text.split("\n", TOP_LINES)[:TOP_LINES]:
-        s = line.strip()
+    """The comments that speak of the file, without their signs, as one lower-case line.
+
+    These are blocks that begin in the top lines or before any code, and below them, down to the foot, blocks that
+    aren't indented and have no code right after them; the others speak of the code they stand at. What stands in
+    strings is no comment.
+    """
+    found: list[list] = []  # whether it counts, whether it is indented, its lines
+    block, inside, quoted, code, next_line = None, None, None, False, 0
+    for nr, line in enumerate(text.split("\n")):
+        s, part = line.strip(), None
+        next_line += len(line) + 1
+        if quoted is not None:
+            quoted = None if quoted in line else quoted
+            continue
         if inside is not None:
             end = s.find(_CLOSE[inside])
-            out.append(s if end < 0 else s[:end])
+            part = s if end < 0 else s[:end]
             inside = None if end >= 0 else inside
-            continue
-        at = next((k for k, o in enumerate(_OPEN) if s.startswith(o)), None)
-        if at is not None:
+        elif s.startswith(_OPEN):
+            at = next(k for k, o in enumerate(_OPEN) if s.startswith(o))
             rest = s[len(_OPEN[at]) :]
             end = rest.find(_CLOSE[at])
-            out.append(rest if end < 0 else rest[:end])
+            part = rest if end < 0 else rest[:end]
             inside = at if end < 0 else None
-        elif s.startswith(("//", "--", ";")) or s.startswith("#") and not re.match(r"#\s*(?:include|define|if|else|endif|pragma|import|undef)", s):
-            out.append(s)
-    return " ".join(" ".join(x.strip("/*#-;! \t") for x in out).split()).lower()
+        elif s.startswith(("//", "--", ";")) or s.startswith("#") and not _DIRECTIVE.match(s):
+            part = s
+        if part is not None:
+            if block is None:
+                block = [nr < TOP_LINES or not code, line[:1].isspace(), []]
+                found.append(block)
+            block[2].append(part)
+            continue
+        if block and not s:
+            block[0] |= not block[1]
+        block = None
+        if s:
+            code, quoted = True, _opens(s)
+            if quoted and text.find(quoted, next_line) < 0:
+                quoted = None
+    if block:
+        block[0] |= not block[1]
+    return " ".join(" ".join(x.strip("/*#-;! \t") for counts, _, lines in found if counts for x in lines).split()).lower()
 
 
 def features(text: str) -> tuple[float, float, float, float, float, float, str]:
@@ -91,7 +124,7 @@ def features(text: str) -> tuple[float, float, float, float, float, float, str]:
 
     ``literal``: characters in literals and separated values; ``long``: characters in long lines; ``blank``:
     white space; ``numbered``: lines that carry a running index 0, 1, 2 ...; ``lines``: their number;
-    ``notice``: 1 for a notice of a tool in the top comments; ``holder``: whose copyright notice is there.
+    ``notice``: 1 for a notice of a tool in a comment on the file; ``holder``: whose copyright notice is there.
     """
     lines = [x for x in text.split("\n") if x.strip()]
     chars = sum(map(len, lines)) or 1
