@@ -2,6 +2,7 @@
 
 import json
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +146,28 @@ def test_watch(spark, tree, tmp_path):
     assert len(seen) == 2 and store.graph().nodes.where("name = 'late'").count() == 1
 
 
+def test_watch_sees_edits_and_removals(spark, tree, tmp_path, monkeypatch):
+    store, seen = Store(spark, str(tmp_path / "store")), []
+    monkeypatch.setattr(ingest, "sync", lambda *_: len(seen) + 1)  # what a sync does is tested above
+
+    def wait(n):
+        end = time.time() + 20
+        while len(seen) < n and time.time() < end and q.exception() is None:
+            time.sleep(0.1)
+        time.sleep(3)
+        assert q.exception() is None and len(seen) == n
+
+    q = ingest.watch(store, str(tree), str(tmp_path / "check"), then=seen.append)
+    try:
+        wait(1)
+        (tree / "app/shell.py").write_text(SHELL + "\ndef late():\n    return 1\n")
+        wait(2)
+        (tree / "app/web.py").unlink()
+        wait(3)
+    finally:
+        q.stop()
+
+
 def test_follow_table(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 1, 3)], "path string, nr int, h int")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))

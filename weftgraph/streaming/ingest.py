@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,8 +12,7 @@ from ..extract.table import extract
 from ..operators.resolve import build_graph
 from ..operators.view import Graph
 from ..sources.store import Store
-from ..sources.tree import is_indexable, scan
-from ..vocab import LANGUAGE_OF, language_of
+from ..sources.tree import scan
 
 
 def update(store: Store, tree: DataFrame, repo: str = "", removed: list[str] | None = None) -> int | None:
@@ -69,23 +67,31 @@ def latest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def watch(store: Store, root: str, checkpoint: str, repo: str = "", every: str = "1 second", once: bool = False, then: Callable[[int | None], None] | None = None) -> StreamingQuery:
-    """Follow a folder with Structured Streaming: each micro-batch of new files triggers one ``sync``.
+def watch(store: Store, root: str, checkpoint: str, repo: str = "", every: str = "1 second", once: bool = False, then: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Follow a folder with Structured Streaming: each tick that finds other paths, times or sizes than the last
+    ``sync`` saw triggers one, so edits and removals count like new files.
 
-    The trigger interval gathers bursts of changes. A batch that fails is repeated from the checkpoint, and since a
-    sync goes by content hashes a repeated one writes nothing. ``once`` takes what is there and stops.
+    The trigger interval gathers bursts of changes. The first tick always syncs. A batch that fails is repeated from
+    the checkpoint, and since a sync goes by content hashes a repeated one writes nothing. ``once`` takes what is
+    there and stops. ``then`` is called with each new segment.
     """
-    names = "*.{" + ",".join(sorted(LANGUAGE_OF)) + "}"
-    base = root if "://" in root else Path(root).resolve().as_uri()
-    stream = store.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-    stream = stream.option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(base).select("path", "modificationTime", "length")
-    stream = stream.where(language_of(F.col("path")).isNotNull() & is_indexable(F.element_at(F.split("path", "/"), -1)))
-
-    def batch(rows: DataFrame, _: int) -> None:
-        if rows.isEmpty():
+    stream = store.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+    last: list = []
+
+    def batch(_: DataFrame, nr: int) -> None:
+        mark = F.xxhash64("path", "mtime_nanos", "size")
+        try:
+            now = scan(store.spark, root, repo).agg(F.count("*"), F.sum(mark.cast("decimal(38,0)")), F.bit_xor(mark)).first()
+            if last == [now]:
+                return
+            segment = sync(store, root, repo)
+        except Exception as e:
+            # a file went away between listing and reading; the next tick looks again
+            if once or "FILE_NOT_EXIST" not in str(e):
+                raise
             return
-        segment = sync(store, root, repo)
-        if then:
+        last[:] = [now]
+        if then and segment is not None:
             then(segment)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
