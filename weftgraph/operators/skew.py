@@ -54,19 +54,24 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     return counts.where(F.col("n") * HOT * n > df.count()).select(key)
 
 
-def spread_semi(df: DataFrame, key: str, dim: DataFrame, hot: DataFrame, salt_by: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is in ``dim`` (unique, same column name), with hot keys spread.
+def spread_join(df: DataFrame, key: str, dim: DataFrame, hot: DataFrame, salt_by: str, how: str = "inner") -> DataFrame:
+    """``df`` joined with ``dim`` on ``key``, with hot keys spread; ``how``: inner, left or left_semi.
 
     Rows of a hot key get one of as many salts as there are partitions, by a hash of ``salt_by``; the
-    few rows of ``dim`` with a hot key are repeated for each salt. ``hot`` is bounded by ``hot_keys``.
+    rows of ``dim`` with a hot key are repeated for each salt. ``hot`` is bounded by ``hot_keys``.
     """
     n = partitions(df)
     hot = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
     salt = F.when(F.col("_hot"), F.pmod(F.hash(salt_by), F.lit(n))).otherwise(0).alias("_salt")
     left = df.join(hot, key, "left").select(*df.columns, salt)
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
-    right = dim.select(key).join(hot, key, "left").select(key, F.explode(salts).alias("_salt"))
-    return left.join(right, [key, "_salt"], "left_semi").drop("_salt")
+    right = dim.join(hot, key, "left").select(*dim.columns, F.explode(salts).alias("_salt"))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def spread_semi(df: DataFrame, key: str, dim: DataFrame, hot: DataFrame, salt_by: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``dim`` (unique, same column name), with hot keys spread."""
+    return spread_join(df, key, dim.select(key), hot, salt_by, "left_semi")
 
 
 def current_segments(files: DataFrame) -> DataFrame:
