@@ -13,39 +13,67 @@ HAND = "def total(rows):\n    found = 0\n    for row in rows:\n        found +=
 THEIRS = "\n".join(f"static int step_{w}(int {w}) {{ return mix({w}, {k}) ^ {w}; }}" for k, w in enumerate("oak elm fir ash yew box bay fig nut lime pear plum".split()))
 
 
-def brute(files):
+def brute(files, pots):
     """Marginals by adding up all labelings of files and directories of one small forest."""
     dirs = {}
-    for i, repo, path, *_ in files:
-        d = "/".join([repo or "", *(path or "").split("/")[:-1]])
-        dirs[i] = d
+    for i, repo, path, _ in files:
+        dirs[i] = "/".join([repo or "", *(path or "").split("/")[:-1]])
     nodes = set()
     for d in dirs.values():
         parts = d.split("/")
         nodes |= {"/".join(parts[: k + 1]) for k in range(len(parts))}
     nodes = sorted(nodes)
+    in_file, in_dir = origin.compatibility(*origin.FILE_IN_DIR), origin.compatibility(*origin.DIR_IN_DIR)
     total = {i: [0.0] * N for i in dirs}
     for labels in itertools.product(range(N), repeat=len(nodes)):
         of = dict(zip(nodes, labels))
-        w = sum(origin.DIR_AND_PARENT for d in nodes if "/" in d and of[d] == of[d.rpartition("/")[0]])
-        sums = {i: [math.exp(e[k] + origin.FILE_AND_DIR * (of[dirs[i]] == k)) for k in range(N)] for i, _, _, *e in files}
-        rest = math.exp(w) * math.prod(map(sum, sums.values()))
+        w = math.prod(in_dir[of[d.rpartition("/")[0]]][of[d]] for d in nodes if "/" in d) * math.exp(sum(pots[d][of[d]] for d in nodes))
+        sums = {i: [math.exp(e[k]) * in_file[of[dirs[i]]][k] for k in range(N)] for i, _, _, e in files}
+        rest = w * math.prod(map(sum, sums.values()))
         for i in dirs:
             for k in range(N):
                 total[i][k] += rest * sums[i][k] / sum(sums[i])
     return {i: [x / sum(t) for x in t] for i, t in total.items()}
 
 
+EVIDENCE = "file_id long, repo string, path string, e array<double>"
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_marginals(spark, seed):
     rng = random.Random(seed)
-    paths = ["a/x", "a/y", "a/b/z", "a/b/w", "c/v", "u"]
-    files = [(k, "r", p, *[rng.uniform(-2, 2) for _ in range(N)]) for k, p in enumerate(paths)]
-    df = spark.createDataFrame(files, "file_id long, repo string, path string, " + ", ".join(f"e{k} double" for k in range(N)))
-    want = brute(files)
-    for r in origin.propagate(df).collect():
-        assert [r[f"p{k}"] for k in range(N)] == pytest.approx(want[r.file_id], abs=1e-9)
-        assert r.label == origin.LABELS[max(range(N), key=want[r.file_id].__getitem__)]
+    paths = ["a/x", "a/y", "a/b/z", "a/b/w", "b/v", "u"]
+    files = [(k, "r", p, [rng.uniform(-2, 2) for _ in range(N)]) for k, p in enumerate(paths)]
+    df = spark.createDataFrame(files, EVIDENCE)
+    own = origin._up(df.withColumn("dir", origin.F.expr("rtrim('/', concat('r/', regexp_replace(path, '[^/]*$', '')))")), origin.F.col("e"), origin.FILE_IN_DIR, "u")
+    pots = {r.dir: r.pot for r in origin.directories(own).collect()}
+    # a/b and b bear the same name, so each has the potential of what the other holds
+    share = lambda e: [math.exp(x) / sum(map(math.exp, e)) for x in e]
+    every = [share(e) for *_, e in files]
+    mix = [max(0.5, sum(s[k] for s in every)) / 6 for k in range(N)]
+    for d, others in (("r/a/b", every[4:5]), ("r/b", every[2:4])):
+        want = [math.log((sum(s[k] for s in others) + origin.NAME_PRIOR * mix[k]) / (len(others) + origin.NAME_PRIOR) / mix[k]) for k in range(N)]
+        assert pots[d] == pytest.approx(want, abs=1e-9)
+    assert pots["r"] == pots["r/a"] == [0.0] * N
+    for by_name in (True, False):
+        want = brute(files, pots if by_name else {d: [0.0] * N for d in pots})
+        for r in origin.propagate(df, by_name).collect():
+            assert [r[f"p{k}"] for k in range(N)] == pytest.approx(want[r.file_id], abs=1e-9)
+            assert r.label == origin.LABELS[max(range(N), key=want[r.file_id].__getitem__)]
+
+
+def test_surroundings_decide(spark):
+    """Three foreign copyright lines: in a vendored tree, in a hand-written one, and in a directory whose name is known elsewhere."""
+    clear = lambda k: [0.0 if i == 0 else 6.0 if i == k else -6.0 for i in range(N)]
+    hand, theirs, weak = clear(0), clear(3), [0.0, -6.0, -6.0, origin.HOLDER_ONLY, -6.0]
+    rows = [("r", f"ext/lib{k % 3}/f{k}", theirs) for k in range(9)] + [("r", f"src/m{k % 3}/f{k}", hand) for k in range(9)]
+    rows += [("r", "ext/lib2/g", weak), ("r", "src/m1/g", weak), ("q", "src/deps/other/g", weak), ("q", "src/deps/h", hand)] + [(f"s{k}", "src/deps/f", theirs) for k in range(8)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], EVIDENCE)
+    got = {r.file_id: r.label for r in origin.propagate(df).collect()}
+    assert [got[k] for k in (18, 19, 20, 21)] == ["vendored", "handwritten", "vendored", "handwritten"]
+    assert {got[k] for k in range(9)} == {"vendored"} and {got[k] for k in range(9, 18)} == {"handwritten"}
+    alone = {r.file_id: r.label for r in origin.labelled(df).collect()}
+    assert [alone[k] for k in (18, 19, 20, 21)] == ["handwritten"] * 4
 
 
 CASES = [
@@ -58,7 +86,7 @@ CASES = [
     ("src/a.py", "\n".join(f"FIELD_{k} = make({k})" for k in range(40)), 0.0, "generated"),
     ("src/a.js", "var a=b;function c(d){return d?e:f}" * 60, 0.0, "minified"),
     ("src/a.py", "T = [\n" + "\n".join("0x1f, 0x2e, 0x3d, 0x4c," for _ in range(50)) + "\n]", 0.0, "blob"),
-    ("src/a.c", "// Copyright (c) 2020 the otherlib contributors\n" + HAND, 0.0, "vendored"),
+    ("src/a.c", "// Copyright (c) 2020 the otherlib contributors\n" + HAND, 0.0, "handwritten"),
     ("src/a.c", "// Copyright (c) 2020 the tide-pool contributors\n" + HAND, 0.0, "handwritten"),
     ("src/a.c", HAND, 0.9, "vendored"),
     ("src/a.c", "", 0.0, "handwritten"),
@@ -70,8 +98,7 @@ def test_evidence(spark):
     names = ["id long", "repo string", "path string", "overlap double"] + [f"{c} {'string' if c == 'holder' else 'double'}" for c in origin.FEATURES]
     got = {}
     for r in origin.evidence(spark.createDataFrame(rows, ", ".join(names))).collect():
-        e = [r[f"e{k}"] for k in range(N)]
-        got[r.id] = origin.LABELS[e.index(max(e))]
+        got[r.id] = origin.LABELS[r.e.index(max(r.e))]
     assert got == {k: want for k, (*_, want) in enumerate(CASES)}
 
 
@@ -117,9 +144,35 @@ def test_origins(spark):
     assert origin.file_origins(args[0], args[1], args[2].limit(0)).where("label = 'vendored'").count() == 0
 
 
-def test_blocks(spark, monkeypatch):
-    monkeypatch.setattr(origin, "BLOCK_CHARS", 200)
-    texts = spark.createDataFrame([(1, THEIRS), (2, HAND), (2, HAND)], "file_id long, content string")
-    up = spark.createDataFrame([(1, THEIRS), (2, HAND[:90]), (3, "other words here and there")], "item_id long, content string")
-    got = {r.file_id: r.overlap for r in origin.text_features(texts, up).collect()}
-    assert got[1] == 1.0 and 0 < got[2] < 1
+def brute_overlap(texts, upstream):
+    words = lambda t: origin._TOKEN.findall(t)
+    runs = lambda t: {tuple(words(t)[k : k + origin.SHINGLE]) for k in range(len(words(t)) - origin.SHINGLE + 1)}
+    known = [runs(u) for u in upstream]
+    return {i: max((len(runs(t) & u) / len(runs(t)) for u in known), default=0) if runs(t) else 0 for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+@pytest.mark.parametrize("bits", [64, 1 << 16])
+def test_overlaps(spark, monkeypatch, broadcast, bits):
+    """All routes: shingles broadcast or shuffled, a full filter or a good one, common text in every third-party file."""
+    monkeypatch.setattr(origin, "BROADCAST_SHINGLES", broadcast)
+    monkeypatch.setattr(origin, "FILTER_BITS", bits)
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcdefghij")
+    licence = [word() for _ in range(40)]
+    up = [" ".join(licence + [word() for _ in range(60)]) for _ in range(12)]
+    texts = {}
+    for k in range(40):
+        own = [word() for _ in range(rng.choice([5, 30, 60]))]
+        u = rng.choice(up).split()
+        texts[k] = " ".join(rng.choice([own, own + licence, u + own, u[: rng.randint(40, 100)] + own, licence, u[50:]]))
+    texts |= {40: "", 41: "a b", 42: up[3]}
+    sh = origin.cut(origin.upstream_shingles(spark.createDataFrame([*enumerate(up), (99, None), (98, "")], "item_id long, content string")))
+    feats = origin.text_features(spark.createDataFrame(list(texts.items()) + [(7, texts[7])], "file_id long, content string"), sh)
+    got = {r.file_id: r.overlap for r in origin.overlaps(feats, sh).collect()}
+    low, high = origin.MAINLY - origin.AROUND, origin.MAINLY + origin.AROUND
+    for i, want in brute_overlap(texts, up).items():
+        if want < low:
+            assert i not in got
+        else:
+            assert got[i] == pytest.approx(want) or high <= got[i] <= want

@@ -1,10 +1,13 @@
 """Generated, minified, vendored and blob files among hand-written source.
 
 Every file gets evidence for five labels from its text, its name and its overlap with known third-party
-files. Belief propagation over the directory trees combines it with the compatibility of parents and
-siblings: messages run up from files to the roots and down again, one level of all trees at a time. A tree
-has no loops, so two passes give exact marginals; a directory's message is a sum, so it is combined before
-the shuffle and a directory with very many files is no burden.
+files. A notice of a tool, running numbers, long lines, literals or a mainly shared text speak clearly; a foreign
+copyright line, which hand-written files keep too, does not. Belief propagation over the directory trees
+weighs it against the surroundings: a directory shares its label with its parent and its files, so siblings
+and a whole tree pull a file along, and a directory has the potential that other directories of its name
+have earned in the corpus. Messages run up from files to the roots and down again, one level of all
+trees at a time. A tree has no loops, so two passes give exact marginals; a directory's message is a sum, so
+it is combined before the shuffle and a directory with very many files is no burden.
 """
 
 from __future__ import annotations
@@ -17,28 +20,36 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, ship
+from ..operators.skew import hot_keys, spread_join
+from ..session import at_most, cut, ship
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
-#: Log-odds for equal labels of a file and its directory, and of a directory and its parent.
-FILE_AND_DIR, DIR_AND_PARENT = 0.5, 0.8
-#: Words of a shingle, and the share of a file's shingles in one third-party file from which on it is mainly taken from it.
-SHINGLE, MAINLY = 5, 0.55
+#: Compatibilities of a file, and of a directory, with the directory it is in: the chance that what lies in a hand-written
+#: directory is something else, and of what lies in another one to be of the same label and to be hand-written.
+FILE_IN_DIR, DIR_IN_DIR = (0.1, 0.9, 0.08), (0.3, 0.92, 0.05)
+#: Files of the corpus' own mix added to what directories of a name hold, files of its label added for a well-known name, and
+#: the most log-odds a name has.
+NAME_PRIOR, NAME_KNOWN, NAME_MOST = 5.0, 5.0, 3.0
+#: Words of a shingle, the share of a file's shingles in one third-party file from which on it is mainly taken from it,
+#: and how far around it the evidence runs from one end to the other; shares below all of it say the same.
+SHINGLE, MAINLY, AROUND = 5, 0.55, 0.15
 #: Lines at the top of which every comment is searched for notices.
 TOP_LINES = 30
 #: A line is long from so many characters on.
 LONG_LINE = 130
 #: Share of white space from which on a text isn't minified.
 MOST_BLANK = 0.16
-#: Characters of third-party text indexed at a time; more of it is taken in blocks of this size.
-BLOCK_CHARS = 16_000_000
+#: Bits of the filter of third-party shingles that tasks get: its size is fixed, more shingles let more through to the join.
+FILTER_BITS = 1 << 24
+#: Classes of shingles, and names of directories, up to which their table is broadcast.
+BROADCAST_SHINGLES = 200_000
 #: So many running numbers make a running index.
 RUNNING = 8
-#: Log-odds that one clear piece of evidence adds.
-CLEAR = 6.0
+#: Log-odds that one clear piece of evidence adds, and what a foreign copyright line leaves of those against it.
+CLEAR, HOLDER_ONLY = 6.0, -0.5
 
 #: Notices that a file was produced by a tool.
 NOTICES = (
@@ -47,20 +58,24 @@ NOTICES = (
     r"\bfichier (?:produit|généré|genere) (?:par|automatiquement)\b", r"\b(?:generado|producido) (?:automáticamente|por)\b",
     r"\bdo not (?:edit|modify)(?: manually| by hand)?: output of\b",
 )
-#: Names that hint at a label, in a directory or a file name; weak evidence.
-HINTS = {
-    "generated": r"(?:^|[/._-])(?:generated|autogen|gen|g|designer|pb)(?=[/._-])",
-    "minified": r"[.-]min\.",
-    "vendored": r"(?:^|/)(?:vendor|third_party|node_modules|external|deps|\.venv|site-packages)/",
-}
+#: File names that hint at a label; weak evidence.
+HINTS = {"generated": r"[._-](?:generated|autogen|gen|g|designer|pb)(?=[._-])[^/]*$", "minified": r"[.-]min\.[^/]*$"}
+
+#: Well-known names of directories.
+DIRECTORIES = {"generated": ("generated", "autogen", "gen"), "vendored": ("vendor", "third_party", "node_modules", "external", "deps", ".venv", "site-packages")}
 
 FEATURES = ("literal", "long", "blank", "numbered", "lines", "notice", "holder")
-_COLUMNS = (*FEATURES, "digest", "overlap")
-_TYPES = [*[pa.float64()] * 6, pa.string(), pa.int64(), pa.float64()]
+_COLUMNS = (*FEATURES, "digest", "shingles", "hits")
+_TYPES = [*[pa.float64()] * 6, pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+_DDL = ", ".join([*(f"{c} double" for c in FEATURES[:-1]), "holder string, digest long, shingles long, hits array<long>"])
 _NOTICE = re.compile("|".join(NOTICES))
 _HOLDER = re.compile(r"copyright\s*(?:\(c\)|©)?[\W\d]*(?:the )?([\w.+-]+)")
 _TOKEN = re.compile(r"[A-Za-z_]\w*|\d+|[^\s\w]")
-_LITERAL = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|\b0x[0-9a-fA-F]+\b|\b\d[\d.]*[a-zA-Z]?\b|(?<![\w\"'])(?:[^\s;,]{1,40}[;,|\t]){3,}[^\s;,]{0,40}$", re.M)
+_PLAIN = r"\"[^\"\n]*\"|'[^'\n]*'|\b0x[0-9a-fA-F]+\b|\b\d[\d.]*[a-zA-Z]?\b"
+_LITERAL = re.compile(_PLAIN)
+_VALUES = re.compile(_PLAIN + r"|(?<![\w\"'])(?:[^\s;,]{1,40}[;,|\t]){3,}[^\s;,]{0,40}$", re.M)
+_SEPARATED = re.compile(r"(?:[;,|\t][^;,|\t]*){3}")
+_DIGIT = re.compile(r"\d")
 _INDEX = re.compile(r"(?<=[A-Za-z_=(\[\"])\d{1,6}\b|^\s*\"?\d{1,6}(?=[;,|])")
 _DIRECTIVE = re.compile(r"#\s*(?:include|define|if|else|endif|pragma|import|undef)")
 _STRING = re.compile(r"""\"{3}.*?\"{3}|'{3}.*?'{3}|`[^`]*`|(\"{3}|'{3}|`)|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'""")
@@ -128,18 +143,23 @@ def features(text: str) -> tuple[float, float, float, float, float, float, str]:
     """
     lines = [x for x in text.split("\n") if x.strip()]
     chars = sum(map(len, lines)) or 1
-    indices = [{int(m.strip().strip('"')) for m in _INDEX.findall(x)} for x in lines]
+    indices = [{int(m.strip().strip('"')) for m in _INDEX.findall(x)} for x in lines if _DIGIT.search(x)]
     every = set().union(*indices) if indices else set()
     first = 0 if 0 in every else 1
     top = first
     while top in every:
         top += 1
     numbered = sum(1 for x in indices if any(k < top for k in x)) / len(lines) if top - first >= RUNNING else 0.0
+    # values between separators are searched only in lines that have any
+    values: tuple[list[str], list[str]] = ([], [])
+    for x in lines:
+        values[_SEPARATED.search(x) is not None].append(x)
+    literal = sum(map(len, _LITERAL.findall("\n".join(values[0])))) + sum(map(len, _VALUES.findall("\n".join(values[1]))))
     notes = _comments(text)
     holder = _HOLDER.search(notes)
     return (
-        min(1.0, sum(len(m[0]) for m in _LITERAL.finditer(text)) / chars), sum(len(x) for x in lines if len(x) > LONG_LINE) / chars,
-        sum(map(str.isspace, text)) / (len(text) or 1), numbered, float(len(lines)), float(bool(_NOTICE.search(notes))), _plain(holder[1]) if holder else "",
+        min(1.0, literal / chars), sum(len(x) for x in lines if len(x) > LONG_LINE) / chars,
+        1 - sum(map(len, text.split())) / (len(text) or 1), numbered, float(len(lines)), float(bool(_NOTICE.search(notes))), _plain(holder[1]) if holder else "",
     )
 
 
@@ -153,139 +173,261 @@ def _ramp(c: Column, middle: float, width: float) -> Column:
 
 
 def evidence(rows: DataFrame) -> DataFrame:
-    """``rows`` (FEATURES, overlap, repo, path) with e0..e4: log-likelihoods of LABELS, 0 for handwritten.
+    """``rows`` (FEATURES, overlap, repo, path) with ``e``: log-likelihoods of LABELS, 0 for handwritten.
 
-    A file without lines has evidence for handwritten only.
+    A file without lines has evidence for handwritten only. A foreign copyright line without more leaves a file
+    rather handwritten; with more of the kind around it the balance tips.
     """
     no = F.lit(-CLEAR)
     where = F.concat(F.lit("/"), F.coalesce("path", F.lit("")))
     hint = {k: F.when(where.rlike(p), 1.0).otherwise(0.0) for k, p in HINTS.items()}
     repo = F.regexp_replace(F.lower(F.coalesce("repo", F.lit(""))), "[^a-z0-9]", "")
-    foreign = F.when((F.col("holder") != "") & (repo != "") & (repo != F.col("holder")), CLEAR).otherwise(no)
-    tool = F.greatest(_ramp(F.col("notice"), 0.5, 0.5), F.when(F.col("lines") >= RUNNING, _ramp(F.col("numbered"), 0.3, 0.15)).otherwise(no))
+    foreign = F.when((F.col("holder") != "") & (repo != "") & (repo != F.col("holder")), HOLDER_ONLY).otherwise(no)
+    tool = F.greatest(_ramp(F.col("notice"), 0.5, 0.5), F.when(F.col("lines") >= RUNNING, _ramp(F.col("numbered"), 0.25, 0.1)).otherwise(no))
     small = F.when(F.col("blank") < MOST_BLANK, _ramp(F.col("long"), 0.6, 0.25)).otherwise(no)
-    taken = F.greatest(_ramp(F.col("overlap"), MAINLY, 0.15), foreign)
-    each = [F.lit(0.0), tool + hint["generated"], small + hint["minified"], taken + 0.5 * hint["vendored"], _ramp(F.col("literal"), 0.55, 0.15)]
-    some = F.col("lines") > 0
-    return rows.withColumns({f"e{k}": e if k == 0 else F.when(some, e).otherwise(no) for k, e in enumerate(each)})
+    taken = F.greatest(_ramp(F.col("overlap"), MAINLY, AROUND), foreign)
+    each = [F.lit(0.0), tool + hint["generated"], small + hint["minified"], taken, _ramp(F.col("literal"), 0.55, 0.15)]
+    none = F.array(*(F.lit(0.0 if k == 0 else -CLEAR) for k in range(len(LABELS))))
+    return rows.withColumn("e", F.when(F.col("lines") > 0, F.array(*each)).otherwise(none))
+
+
+class _Hashes(dict):
+    """Word -> a hash that is the same in every process."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 200_000:
+            self[word] = h
+        return h
 
 
-def _shingles(text: str) -> set[int]:
+def _shingles(text: str, hashes: _Hashes) -> np.ndarray:
+    """The distinct hashes of the text's runs of SHINGLE words, as signed 64-bit numbers."""
     words = _TOKEN.findall(text)
-    return {hash(tuple(words[k : k + SHINGLE])) for k in range(len(words) - SHINGLE + 1)}
+    n = len(words) - SHINGLE + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    out = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out.view(np.int64))
+
+
+def upstream_shingles(upstream: DataFrame) -> DataFrame:
+    """(h, item_id): the distinct shingles of third-party files (item_id, content); null contents have none."""
+    kind = upstream.schema["item_id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for b in batches:
+            for k, x in enumerate(b["content"].cast(pa.binary())):
+                h = _shingles(x.as_py().decode("utf-8", "replace"), hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(h), b["item_id"].slice(k, 1).take(pa.array(np.zeros(len(h), np.int64)))], ["h", "item_id"])
+
+    rows = upstream.where("item_id is not null and content is not null").select("item_id", "content")
+    return rows.mapInArrow(run, f"h long, item_id {kind}").distinct()
+
+
+def _filter_bits(shingles: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits with those of all ``shingles`` set; the only thing of them that reaches the driver."""
+    at = F.pmod("h", F.lit(FILTER_BITS))
+    words = shingles.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(h, 64) as int))").alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(max(1, FILTER_BITS >> 6), np.int64)
+    bits[found["w"].to_numpy()] = found["b"].to_numpy()
+    return bits.view(np.uint8)
+
+
+def text_features(texts: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(file_id, FEATURES, shingles, hits) of each file of ``texts`` (file_id, content), every text read once and whole.
+
+    ``shingles``: how many distinct ones the text has; ``hits``: those that may be among the third-party
+    ``shingles`` (h): all that are, and few others. Of several texts of a file one counts, chosen by a digest. A null content is
+    an empty text.
+    """
+    kind = texts.schema["file_id"].dataType.simpleString()
+    shared = texts.sparkSession.sparkContext.broadcast(_filter_bits(shingles))
+    size = FILTER_BITS
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, bits = _Hashes(), shared.value
+        for b in batches:
+            rows = []
+            for x in b["content"].cast(pa.binary()):
+                t = x.as_py().decode("utf-8", "replace") if x.is_valid else ""
+                own = _shingles(t, hashes)
+                at = own % size
+                hits = own[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                rows.append((*features(t), xxhash.xxh3_64_intdigest(t) >> 1, len(own), hits))
+            cols = list(zip(*rows)) if rows else [()] * len(_COLUMNS)
+            yield pa.RecordBatch.from_arrays([b["file_id"], *(pa.array(c, t) for c, t in zip(cols, _TYPES))], ["file_id", *_COLUMNS])
+
+    every = texts.select("file_id", "content").mapInArrow(run, f"file_id {kind}, {_DDL}")
+    kept = [c for c in _COLUMNS if c != "digest"]
+    best = every.groupBy("file_id").agg(F.max(F.struct("digest", *kept)).alias("f"))
+    return best.select("file_id", *(F.col(f"f.{c}").alias(c) for c in kept))
+
+
+def _dim_join(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """``df`` joined with ``dim``, broadcast if that is proven small, else shuffled with the hot keys of ``df`` salted."""
+    if at_most(dim, BROADCAST_SHINGLES):
+        return df.join(F.broadcast(dim), key)
+    df = cut(df)
+    return spread_join(df, key, dim, hot_keys(df, key), "file_id")
+
+
+def overlaps(feats: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(file_id, overlap): the largest share of a file's shingles that one third-party file holds, of the files where
+    it is at least MAINLY - AROUND; lower ones make no difference to the evidence.
+
+    ``feats``: file_id, shingles, hits; ``shingles``: (h, item_id). Shingles held by the same third-party files are one class, told by
+    sums of hashes, so text that very many of them share is one row. A file's classes are taken from the
+    rarest on; a third-party file that holds the least share must hold one of the first n - least + 1 shingles
+    in that order, so only the classes there name candidates, and common text names none unless the file
+    consists of it. If one class alone is over MAINLY + AROUND, its share is given without a look at the rest.
+    """
+    n = F.col("shingles")
+    low, high = MAINLY - AROUND, MAINLY + AROUND
+    sums = (F.sum(F.xxhash64("item_id").cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit(1), "item_id").cast("decimal(38,0)")))
+    of = shingles.groupBy("h").agg(F.count("*").alias("k"), *(s.alias(f"s{i}") for i, s in enumerate(sums)))
+    of = cut(of.select("h", "k", F.xxhash64("k", "s0").alias("c"), F.xxhash64("k", "s1").alias("d")))
+    held = of.groupBy("c", "d").agg(F.min("h").alias("h")).join(shingles, "h").select(F.struct("c", "d").alias("class"), "item_id")
+    hits = feats.where(F.size("hits") >= low * n).select("file_id", "shingles", F.explode("hits").alias("h"))
+    counts = _dim_join(hits, of, "h").groupBy("file_id", "shingles", F.struct("c", "d").alias("class"), "k").agg(F.count("*").alias("m"))
+    by_file = Window.partitionBy("file_id")
+    rarer = by_file.orderBy("k", "class").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"hit": F.sum("m").over(by_file), "before": F.coalesce(F.sum("m").over(rarer), F.lit(0)), "most": F.max("m").over(by_file)})
+    counts = cut(counts.where(F.col("hit") >= low * n))
+    clear = counts.where(F.col("most") >= high * n).select("file_id", (F.col("most") / n).alias("overlap")).distinct()
+    rest = counts.where(F.col("most") < high * n)
+    prefix = rest.where(n - F.col("hit") + F.col("before") < n - F.ceil(low * n) + 1).select("file_id", "class")
+    cand = _dim_join(prefix, held, "class").select("file_id", "item_id").distinct()
+    both = cand.join(rest.select("file_id", "shingles", "class", "m"), "file_id").join(held, ["class", "item_id"], "left_semi")
+    best = both.groupBy("file_id", "item_id", "shingles").agg(F.sum("m").alias("m")).groupBy("file_id").agg(F.max(F.col("m") / n).alias("overlap"))
+    return clear.unionByName(best.where(F.col("overlap") >= low))
 
 
-def _index(texts: list[str]) -> dict[int, list[int]]:
-    index: dict[int, list[int]] = {}
-    for k, t in enumerate(texts):
-        for x in _shingles(t):
-            index.setdefault(x, []).append(k)
-    return index
+def file_evidence(texts: DataFrame, paths: DataFrame, upstream: DataFrame) -> DataFrame:
+    """(file_id, repo, path, e): the evidence of each file of ``texts`` (file_id, content); ``paths``: file_id, repo, path."""
+    shingles = cut(upstream_shingles(upstream))
+    feats = cut(text_features(texts, shingles))
+    rows = feats.drop("hits", "shingles").join(overlaps(feats, shingles), "file_id", "left").join(paths, "file_id", "left").na.fill(0.0, ["overlap"])
+    return evidence(rows).select("file_id", "repo", "path", "e")
 
 
-def _best(own: set[int], index: dict[int, list[int]], n: int) -> float:
-    """The largest share of the shingles ``own`` that one of ``n`` indexed texts holds."""
-    hits = np.zeros(n + 1, np.int64)
-    for x in own:
-        for k in index.get(x, ()):
-            hits[k] += 1
-    return float(hits.max()) / max(1, len(own))
+def _plus(a: str | Column, b: str | Column, sign: int = 1) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + sign * y)
 
 
-def text_features(texts: DataFrame, upstream: DataFrame) -> DataFrame:
-    """(file_id, FEATURES, overlap) of every row of ``texts`` (file_id, content).
+def _share(df: DataFrame, came: Column, to: str) -> DataFrame:
+    """``df`` with the probabilities ``to`` of a belief, an array of log-weights."""
+    df = df.withColumn("_b", came).withColumn("_x", F.transform("_b", lambda v: F.exp(v - F.array_max("_b"))))
+    df = df.withColumn("_t", F.aggregate("_x", F.lit(0.0), lambda a, v: a + v))
+    return df.withColumn(to, F.transform("_x", lambda v: v / F.col("_t"))).drop("_b", "_x", "_t")
 
-    ``overlap``: the largest share of a text's shingles that one third-party file holds. The third-party files
-    (item_id, content) are taken in blocks of BLOCK_CHARS, each against all texts; one block in all but very large
-    sets of them. A null content is an empty text.
-    """
-    kind = texts.schema["file_id"].dataType.simpleString()
-    known = upstream.where("content is not null").select("item_id", "content")
-    size = known.agg(F.sum(F.length("content"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_CHARS))
-
-    def of_block(k: int) -> DataFrame:
-        part = known.where(F.pmod(F.xxhash64("item_id", "content"), F.lit(blocks)) == k)
-        shared = texts.sparkSession.sparkContext.broadcast([r.content for r in part.collect()])
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            # hashes of words differ between processes, so each task makes its index itself
-            index, n = _index(shared.value), len(shared.value)
-            for b in batches:
-                rows = []
-                for x in b["content"].cast(pa.binary()):
-                    t = x.as_py().decode("utf-8", "replace") if x.is_valid else ""
-                    rows.append((*features(t), xxhash.xxh3_64_intdigest(t) >> 1, _best(_shingles(t), index, n)))
-                cols = list(zip(*rows)) if rows else [()] * len(_COLUMNS)
-                yield pa.RecordBatch.from_arrays([b["file_id"], *(pa.array(c, t) for c, t in zip(cols, _TYPES))], ["file_id", *_COLUMNS])
-
-        fields = ", ".join(f"{c} {'string' if c == 'holder' else 'long' if c == 'digest' else 'double'}" for c in _COLUMNS)
-        return texts.select("file_id", "content").mapInArrow(run, f"file_id {kind}, {fields}")
-
-    every = reduce(DataFrame.unionByName, map(of_block, range(blocks)))
-    # of several texts of a file one counts, the same in every block; its best block counts
-    best = every.groupBy("file_id").agg(F.max(F.struct("digest", "overlap", *FEATURES)).alias("f"))
-    return best.select("file_id", *(F.col(f"f.{c}").alias(c) for c in (*FEATURES, "overlap")))
 
+def compatibility(other: float, same: float, hand: float) -> list[list[float]]:
+    """The probability of each label below a directory, a row per label of the directory."""
+    n = len(LABELS)
+    rest = (1 - same - hand) / (n - 2)
+    return [[1 - other, *[other / (n - 1)] * (n - 1)]] + [[hand, *(same if c == p else rest for c in range(1, n))] for p in range(1, n)]
 
-def file_evidence(texts: DataFrame, paths: DataFrame, upstream: DataFrame) -> DataFrame:
-    """(file_id, repo, path, e0..e4): the evidence of each file of ``texts`` (file_id, content); ``paths``: file_id, repo, path."""
-    return evidence(text_features(texts, upstream).join(paths, "file_id", "left")).select("file_id", "repo", "path", *(f"e{k}" for k in range(len(LABELS))))
 
+def _up(df: DataFrame, came: Column, below: tuple[float, ...], to: str) -> DataFrame:
+    """``df`` with the log-message ``to`` that a file or directory of belief ``came`` sends to the directory above it."""
+    return _message(df, came, compatibility(*below), to)
 
-def _send(df: DataFrame, came: list[Column], same: float, to: str) -> DataFrame:
-    """``df`` with the log-messages ``to``0..4 that a belief ``came`` sends over an edge of log-odds ``same``.
 
-    Each is ln(1 + (e^same - 1) p) of the belief's probability p, so it lies between 0 and ``same``. Done in
-    steps of columns, to keep the expressions small.
-    """
-    n = range(len(LABELS))
-    df = df.withColumns({f"_b{k}": c for k, c in zip(n, came)})
-    df = df.withColumn("_m", F.greatest(*(F.col(f"_b{k}") for k in n)))
-    df = df.withColumns({f"_x{k}": F.exp(F.col(f"_b{k}") - F.col("_m")) for k in n})
-    df = df.withColumn("_t", reduce(lambda a, b: a + b, (F.col(f"_x{k}") for k in n)))
-    df = df.withColumns({f"{to}{k}": F.log1p(F.col(f"_x{k}") / F.col("_t") * (math.exp(same) - 1)) for k in n})
-    return df.drop("_m", "_t", *(f"_b{k}" for k in n), *(f"_x{k}" for k in n))
+def _down(df: DataFrame, came: Column, below: tuple[float, ...], to: str) -> DataFrame:
+    """``df`` with the log-message ``to`` that a directory of belief ``came`` sends to what is in it."""
+    return _message(df, came, [list(c) for c in zip(*compatibility(*below))], to)
+
 
+def _message(df: DataFrame, came: Column, by: list[list[float]], to: str) -> DataFrame:
+    each = [reduce(lambda a, b: a + b, (F.col("_p")[c] * w for c, w in enumerate(row))) for row in by]
+    return _share(df, came, "_p").withColumn(to, F.array(*map(F.log, each))).drop("_p")
 
-def propagate(files: DataFrame) -> DataFrame:
-    """(file_id, label, p0..p4) from evidence (file_id, repo, path, e0..e4): marginals over the directory trees.
 
-    Each repo is a tree; files without a path hang on their repo's root. Of labels with equal
-    probability the first of LABELS counts.
+def _lit(values: list[float]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def _sums(c: str) -> Column:
+    return F.array(*(F.sum(F.col(c)[k]) for k in range(len(LABELS))))
+
+
+def directories(files: DataFrame) -> DataFrame:
+    """(dir, depth, u, pot) of all directories above ``files`` (dir, e, u): the sum of the messages ``u`` of a directory's own
+    files, and the potential of its name.
+
+    The potential is ln of the mix of labels, by the files' own evidence, below all other directories of the same name
+    against the mix of the whole corpus; what a directory itself holds doesn't count. A well-known name begins with some
+    files of its label, which what is found under it can outweigh. Names are compared in lower case; a repo's root has none.
+    """
+    own = _share(files, F.col("e"), "s").groupBy("dir").agg(_sums("u").alias("u"), _sums("s").alias("s"))
+    up = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.struct(F.concat_ws("/", F.slice("parts", 1, k)).alias("dir"), (k - 1).alias("depth"), F.when(k > 1, F.lower(F.element_at("parts", k.cast("int")))).alias("name"), (k == F.size("parts")).alias("self")))
+    every = own.withColumn("parts", F.split("dir", "/")).select("u", "s", F.explode(up).alias("d")).select("d.*", "s", F.when(F.col("d.self"), F.col("u")).otherwise(F.transform("u", lambda x: x * 0)).alias("u"))
+    dirs = cut(every.groupBy("dir", "depth", "name").agg(_sums("u").alias("u"), _sums("s").alias("s")))
+    base = dirs.where("depth = 0").agg(_sums("s").alias("s")).first().s
+    total = sum(x or 0 for x in base)
+    if not total:
+        return dirs.select("dir", "depth", "u", F.transform("u", lambda x: x * 0).alias("pot"))
+    mix = F.array(*(F.lit(max(x, 0.5) / total) for x in base))
+    names = dirs.where("name is not null").groupBy("name").agg(_sums("s").alias("all"), F.count("*").alias("n")).where("n > 1").drop("n")
+    names = cut(names)
+    if at_most(names, BROADCAST_SHINGLES):
+        dirs = dirs.join(F.broadcast(names), "name", "left")
+    else:
+        dirs = spread_join(dirs, "name", names, hot_keys(dirs, "name"), "dir", "left")
+    # a name that stands twice in one path counts in both places, hence no less than nothing
+    rest = F.transform(_plus(F.coalesce("all", F.col("s")), "s", -1), lambda x: F.greatest(x, F.lit(0.0)))
+    known = F.array(*(F.when(F.col("name").isin(*DIRECTORIES[k]), NAME_KNOWN).otherwise(0.0) if k in DIRECTORIES else F.lit(0.0) for k in LABELS))
+    dirs = dirs.withColumn("rest", rest).withColumn("rest", _plus("rest", F.when(F.col("name").isNotNull(), known).otherwise(_lit([0.0] * len(LABELS))))).withColumn("n", F.aggregate("rest", F.lit(0.0), lambda a, v: a + v))
+    odds = F.zip_with("rest", mix, lambda x, m: F.log((x + NAME_PRIOR * m) / (F.col("n") + NAME_PRIOR) / m))
+    pot = F.transform(odds, lambda x: F.greatest(F.lit(-NAME_MOST), F.least(F.lit(NAME_MOST), x)))
+    return dirs.select("dir", "depth", "u", F.when(F.col("n") > 0, pot).otherwise(F.transform("u", lambda x: x * 0)).alias("pot"))
+
+
+def propagate(files: DataFrame, by_name: bool = True) -> DataFrame:
+    """(file_id, label, p0..p4) from evidence (file_id, repo, path, e): marginals over the directory trees.
+
+    Each repo is a tree; files without a path hang on their repo's root. Of labels with equal probability the
+    first of LABELS counts. ``by_name``: whether directories have the potentials of their names.
     """
-    n = range(len(LABELS))
     parts = F.split(F.coalesce("path", F.lit("")), "/")
-    files = files.select("file_id", *(f"e{k}" for k in n), F.concat_ws("/", F.coalesce("repo", F.lit("")), F.slice(parts, 1, F.size(parts) - 1)).alias("dir"))
-    files = cut(_send(files, [F.col(f"e{k}") for k in n], FILE_AND_DIR, "u"))
-    parent = F.regexp_replace("dir", "/[^/]*$", "")
-    own = files.groupBy("dir").agg(*(F.sum(f"u{k}").alias(f"b{k}") for k in n))
-    own = cut(own.withColumn("depth", F.size(F.split("dir", "/")) - 1))
-    deepest = own.agg(F.max("depth")).first()[0]
+    files = files.select("file_id", "e", F.concat_ws("/", F.coalesce(F.regexp_replace("repo", "/", "_"), F.lit("")), F.slice(parts, 1, F.size(parts) - 1)).alias("dir"))
+    files = cut(_up(files, F.col("e"), FILE_IN_DIR, "u"))
+    dirs = cut(directories(files))
+    if not by_name:
+        dirs = dirs.withColumn("pot", F.transform("pot", lambda x: x * 0))
+    deepest = dirs.agg(F.max("depth")).first()[0]
     if deepest is None:
-        return files.select("file_id", F.lit(LABELS[0]).alias("label"), *(F.lit(0.0).alias(f"p{k}") for k in n))
+        return files.select("file_id", F.lit(LABELS[0]).alias("label"), *(F.lit(0.0).alias(f"p{k}") for k in range(len(LABELS))))
+    parent = F.regexp_replace("dir", "/[^/]*$", "")
     beliefs: dict[int, DataFrame] = {}
     below = None
     for d in range(deepest, -1, -1):
-        level = own.where(F.col("depth") == d).select("dir", *(f"b{k}" for k in n))
+        level = dirs.where(F.col("depth") == d).select("dir", _plus("u", "pot").alias("b"))
         if below is not None:
-            level = level.unionByName(below)
-        level = level.groupBy("dir").agg(*(F.sum(f"b{k}").alias(f"b{k}") for k in n))
-        beliefs[d] = cut(_send(level, [F.col(f"b{k}") for k in n], DIR_AND_PARENT, "s").withColumn("parent", parent))
-        below = beliefs[d].select(F.col("parent").alias("dir"), *(F.col(f"s{k}").alias(f"b{k}") for k in n))
-    done = [beliefs[0].select("dir", *(f"b{k}" for k in n))]
+            level = level.unionByName(below).groupBy("dir").agg(_sums("b").alias("b"))
+        beliefs[d] = cut(_up(level, F.col("b"), DIR_IN_DIR, "s").withColumn("parent", parent))
+        below = beliefs[d].select(F.col("parent").alias("dir"), F.col("s").alias("b"))
+    done = [beliefs[0].select("dir", "b")]
     for d in range(1, deepest + 1):
-        above = done[-1].select(F.col("dir").alias("parent"), *(F.col(f"b{k}").alias(f"a{k}") for k in n))
-        both = _send(beliefs[d].join(above, "parent"), [F.col(f"a{k}") - F.col(f"s{k}") for k in n], DIR_AND_PARENT, "d")
-        done.append(cut(both.select("dir", *((F.col(f"b{k}") + F.col(f"d{k}")).alias(f"b{k}") for k in n))))
+        above = done[-1].select(F.col("dir").alias("parent"), F.col("b").alias("a"))
+        both = _down(beliefs[d].join(above, "parent"), _plus("a", "s", -1), DIR_IN_DIR, "d")
+        done.append(cut(both.select("dir", _plus("b", "d").alias("b"))))
     dirs = reduce(DataFrame.unionByName, done)
-    files = _send(files.join(dirs, "dir"), [F.col(f"b{k}") - F.col(f"u{k}") for k in n], FILE_AND_DIR, "d")
-    files = files.select("file_id", *((F.col(f"e{k}") + F.col(f"d{k}")).alias(f"m{k}") for k in n))
-    files = files.withColumn("top", F.greatest(*(F.col(f"m{k}") for k in n)))
-    files = files.withColumns({f"x{k}": F.exp(F.col(f"m{k}") - F.col("top")) for k in n})
-    total = reduce(lambda a, b: a + b, (F.col(f"x{k}") for k in n))
-    label = F.coalesce(*(F.when(F.col(f"m{k}") == F.col("top"), LABELS[k]) for k in n))
-    return files.withColumn("total", total).select("file_id", label.alias("label"), *((F.col(f"x{k}") / F.col("total")).alias(f"p{k}") for k in n))
+    files = _down(files.join(dirs, "dir"), _plus("b", "u", -1), FILE_IN_DIR, "d")
+    return labelled(files.select("file_id", _plus("e", "d").alias("e")))
+
+
+def labelled(files: DataFrame) -> DataFrame:
+    """(file_id, label, p0..p4) by the log-weights ``e`` of each file as they stand."""
+    label = F.element_at(F.array(*map(F.lit, LABELS)), F.array_position("e", F.array_max("e")).cast("int"))
+    return _share(files, F.col("e"), "p").select("file_id", label.alias("label"), *(F.col("p")[k].alias(f"p{k}") for k in range(len(LABELS))))
 
 
 def file_origins(files: DataFrame, texts: DataFrame, upstream: DataFrame) -> DataFrame:
@@ -294,8 +436,12 @@ def file_origins(files: DataFrame, texts: DataFrame, upstream: DataFrame) -> Dat
     ``files``: file_id, repo, path, segment_id, of which each file's row of the highest segment counts (of
     equal ones the greatest by repo and path); ``texts``: file_id, content, of which one counts if a file has
     several, chosen by a digest of the text; ``upstream``: item_id, content. Null, empty and blank texts count as handwritten as
-    far as their neighbours allow. Rows with a null file_id are left out; other columns are ignored.
+    far as their neighbours allow. Rows with a null file_id or item_id are left out; other columns are ignored.
     """
     ship(texts)
-    paths = files.where("file_id is not null").groupBy("file_id").agg(F.max(F.struct("segment_id", "repo", "path")).alias("f")).select("file_id", "f.repo", "f.path")
-    return propagate(file_evidence(texts.where("file_id is not null"), paths, upstream))
+    return propagate(file_evidence(texts.where("file_id is not null"), current_paths(files), upstream))
+
+
+def current_paths(files: DataFrame) -> DataFrame:
+    """(file_id, repo, path) of each file's row of the highest segment."""
+    return files.where("file_id is not null").groupBy("file_id").agg(F.max(F.struct("segment_id", "repo", "path")).alias("f")).select("file_id", "f.repo", "f.path")
