@@ -12,12 +12,12 @@ it is combined before the shuffle and a directory with very many files is no bur
 
 from __future__ import annotations
 
-import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -44,6 +44,8 @@ LONG_LINE = 130
 MOST_BLANK = 0.16
 #: Bits of the filter of third-party shingles that tasks get: its size is fixed, more shingles let more through to the join.
 FILTER_BITS = 1 << 24
+#: Third-party files up to which a shingle is counted for each of them.
+RARE = 32
 #: Classes of shingles, and names of directories, up to which their table is broadcast.
 BROADCAST_SHINGLES = 200_000
 #: So many running numbers make a running index.
@@ -74,7 +76,6 @@ _TOKEN = re.compile(r"[A-Za-z_]\w*|\d+|[^\s\w]")
 _PLAIN = r"\"[^\"\n]*\"|'[^'\n]*'|\b0x[0-9a-fA-F]+\b|\b\d[\d.]*[a-zA-Z]?\b"
 _LITERAL = re.compile(_PLAIN)
 _VALUES = re.compile(_PLAIN + r"|(?<![\w\"'])(?:[^\s;,]{1,40}[;,|\t]){3,}[^\s;,]{0,40}$", re.M)
-_SEPARATED = re.compile(r"(?:[;,|\t][^;,|\t]*){3}")
 _DIGIT = re.compile(r"\d")
 _INDEX = re.compile(r"(?<=[A-Za-z_=(\[\"])\d{1,6}\b|^\s*\"?\d{1,6}(?=[;,|])")
 _DIRECTIVE = re.compile(r"#\s*(?:include|define|if|else|endif|pragma|import|undef)")
@@ -153,7 +154,7 @@ def features(text: str) -> tuple[float, float, float, float, float, float, str]:
     # values between separators are searched only in lines that have any
     values: tuple[list[str], list[str]] = ([], [])
     for x in lines:
-        values[_SEPARATED.search(x) is not None].append(x)
+        values[x.count(",") + x.count(";") + x.count("|") + x.count("\t") > 2].append(x)
     literal = sum(map(len, _LITERAL.findall("\n".join(values[0])))) + sum(map(len, _VALUES.findall("\n".join(values[1]))))
     notes = _comments(text)
     holder = _HOLDER.search(notes)
@@ -282,30 +283,36 @@ def overlaps(feats: DataFrame, shingles: DataFrame) -> DataFrame:
     """(file_id, overlap): the largest share of a file's shingles that one third-party file holds, of the files where
     it is at least MAINLY - AROUND; lower ones make no difference to the evidence.
 
-    ``feats``: file_id, shingles, hits; ``shingles``: (h, item_id). Shingles held by the same third-party files are one class, told by
-    sums of hashes, so text that very many of them share is one row. A file's classes are taken from the
-    rarest on; a third-party file that holds the least share must hold one of the first n - least + 1 shingles
-    in that order, so only the classes there name candidates, and common text names none unless the file
-    consists of it. If one class alone is over MAINLY + AROUND, its share is given without a look at the rest.
+    ``feats``: file_id, shingles, hits; ``shingles``: (h, item_id). Shingles held by the same third-party files are one
+    class, told by sums of hashes, so text that very many of them share is one row. Classes of up to RARE third-party files
+    are counted for each of those; to that come common classes for those third-party files only that can reach the
+    least share with all of them. A file that could reach it by common text alone takes its common classes from the rarest on: what holds
+    the least share must hold one of the first n - least + 1 shingles in that order, so only the classes there name
+    candidates. If one class alone is over MAINLY + AROUND, its share is given without a look at the rest.
     """
     n = F.col("shingles")
     low, high = MAINLY - AROUND, MAINLY + AROUND
     sums = (F.sum(F.xxhash64("item_id").cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit(1), "item_id").cast("decimal(38,0)")))
     of = shingles.groupBy("h").agg(F.count("*").alias("k"), *(s.alias(f"s{i}") for i, s in enumerate(sums)))
-    of = cut(of.select("h", "k", F.xxhash64("k", "s0").alias("c"), F.xxhash64("k", "s1").alias("d")))
-    held = of.groupBy("c", "d").agg(F.min("h").alias("h")).join(shingles, "h").select(F.struct("c", "d").alias("class"), "item_id")
+    of = cut(of.select("h", "k", F.struct(F.xxhash64("k", "s0").alias("a"), F.xxhash64("k", "s1").alias("b")).alias("class")))
+    held = cut(of.groupBy("class").agg(F.min("h").alias("h")).join(shingles, "h").select("class", "item_id"))
     hits = feats.where(F.size("hits") >= low * n).select("file_id", "shingles", F.explode("hits").alias("h"))
-    counts = _dim_join(hits, of, "h").groupBy("file_id", "shingles", F.struct("c", "d").alias("class"), "k").agg(F.count("*").alias("m"))
+    counts = _dim_join(hits, of, "h").groupBy("file_id", "shingles", "class", "k").agg(F.count("*").alias("m"))
     by_file = Window.partitionBy("file_id")
+    common = F.when(F.col("k") > RARE, F.col("m")).otherwise(0)
     rarer = by_file.orderBy("k", "class").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumns({"hit": F.sum("m").over(by_file), "before": F.coalesce(F.sum("m").over(rarer), F.lit(0)), "most": F.max("m").over(by_file)})
+    counts = counts.withColumns({"hit": F.sum("m").over(by_file), "most": F.max("m").over(by_file), "common": F.sum(common).over(by_file), "before": F.coalesce(F.sum(common).over(rarer), F.lit(0))})
     counts = cut(counts.where(F.col("hit") >= low * n))
     clear = counts.where(F.col("most") >= high * n).select("file_id", (F.col("most") / n).alias("overlap")).distinct()
     rest = counts.where(F.col("most") < high * n)
-    prefix = rest.where(n - F.col("hit") + F.col("before") < n - F.ceil(low * n) + 1).select("file_id", "class")
-    cand = _dim_join(prefix, held, "class").select("file_id", "item_id").distinct()
-    both = cand.join(rest.select("file_id", "shingles", "class", "m"), "file_id").join(held, ["class", "item_id"], "left_semi")
-    best = both.groupBy("file_id", "item_id", "shingles").agg(F.sum("m").alias("m")).groupBy("file_id").agg(F.max(F.col("m") / n).alias("overlap"))
+    own = _dim_join(rest.where(F.col("k") <= RARE), held, "class").groupBy("file_id", "item_id", "shingles", "common").agg(F.sum("m").alias("m"))
+    own = own.where(F.col("m") + F.col("common") >= low * n)
+    prefix = rest.where((F.col("k") > RARE) & (F.col("before") < F.col("common") - F.ceil(low * n) + 1))
+    named = _dim_join(prefix.select("file_id", "class", "shingles", "common"), held, "class").select("file_id", "item_id", "shingles", "common", F.lit(0).cast("long").alias("m"))
+    cand = cut(own.unionByName(named).groupBy("file_id", "item_id", "shingles", "common").agg(F.max("m").alias("m")))
+    more = cand.where("common > 0").select("file_id", "item_id", "shingles").join(rest.where(F.col("k") > RARE).select("file_id", "class", "m"), "file_id").join(held, ["class", "item_id"], "left_semi")
+    every = cand.select("file_id", "item_id", "shingles", "m").unionByName(more.select("file_id", "item_id", "shingles", "m")).groupBy("file_id", "item_id", "shingles").agg(F.sum("m").alias("m"))
+    best = every.groupBy("file_id").agg(F.max(F.col("m") / n).alias("overlap"))
     return clear.unionByName(best.where(F.col("overlap") >= low))
 
 
@@ -321,11 +328,20 @@ def _plus(a: str | Column, b: str | Column, sign: int = 1) -> Column:
     return F.zip_with(a, b, lambda x, y: x + sign * y)
 
 
-def _share(df: DataFrame, came: Column, to: str) -> DataFrame:
-    """``df`` with the probabilities ``to`` of a belief, an array of log-weights."""
-    df = df.withColumn("_b", came).withColumn("_x", F.transform("_b", lambda v: F.exp(v - F.array_max("_b"))))
-    df = df.withColumn("_t", F.aggregate("_x", F.lit(0.0), lambda a, v: a + v))
-    return df.withColumn(to, F.transform("_x", lambda v: v / F.col("_t"))).drop("_b", "_x", "_t")
+def _arrays(f: Callable[..., np.ndarray], *of: str | Column) -> Column:
+    """``f`` of columns of arrays, each given as a matrix with a row per row; done in Arrow batches, so nothing is computed twice."""
+
+    @F.pandas_udf("array<double>")
+    def run(*x: pd.Series) -> pd.Series:
+        return pd.Series(list(f(*(np.stack(c.to_numpy()) for c in x))) if len(x[0]) else [], dtype=object)
+
+    return run(*of)
+
+
+def _share(b: np.ndarray) -> np.ndarray:
+    """The probabilities of beliefs, rows of log-weights."""
+    x = np.exp(b - b.max(axis=1, keepdims=True))
+    return x / x.sum(axis=1, keepdims=True)
 
 
 def compatibility(other: float, same: float, hand: float) -> list[list[float]]:
@@ -335,23 +351,16 @@ def compatibility(other: float, same: float, hand: float) -> list[list[float]]:
     return [[1 - other, *[other / (n - 1)] * (n - 1)]] + [[hand, *(same if c == p else rest for c in range(1, n))] for p in range(1, n)]
 
 
-def _up(df: DataFrame, came: Column, below: tuple[float, ...], to: str) -> DataFrame:
-    """``df`` with the log-message ``to`` that a file or directory of belief ``came`` sends to the directory above it."""
-    return _message(df, came, compatibility(*below), to)
-
+def _up(came: str | Column, below: tuple[float, ...]) -> Column:
+    """The log-message that a file or directory of belief ``came`` sends to the directory above it."""
+    by = np.array(compatibility(*below)).T
+    return _arrays(lambda b: np.log(_share(b) @ by), came)
 
-def _down(df: DataFrame, came: Column, below: tuple[float, ...], to: str) -> DataFrame:
-    """``df`` with the log-message ``to`` that a directory of belief ``came`` sends to what is in it."""
-    return _message(df, came, [list(c) for c in zip(*compatibility(*below))], to)
 
-
-def _message(df: DataFrame, came: Column, by: list[list[float]], to: str) -> DataFrame:
-    each = [reduce(lambda a, b: a + b, (F.col("_p")[c] * w for c, w in enumerate(row))) for row in by]
-    return _share(df, came, "_p").withColumn(to, F.array(*map(F.log, each))).drop("_p")
-
-
-def _lit(values: list[float]) -> Column:
-    return F.array(*map(F.lit, values))
+def _down(came: str | Column, below: tuple[float, ...]) -> Column:
+    """The log-message that a directory of belief ``came`` sends to what is in it."""
+    by = np.array(compatibility(*below))
+    return _arrays(lambda b: np.log(_share(b) @ by), came)
 
 
 def _sums(c: str) -> Column:
@@ -366,28 +375,32 @@ def directories(files: DataFrame) -> DataFrame:
     against the mix of the whole corpus; what a directory itself holds doesn't count. A well-known name begins with some
     files of its label, which what is found under it can outweigh. Names are compared in lower case; a repo's root has none.
     """
-    own = _share(files, F.col("e"), "s").groupBy("dir").agg(_sums("u").alias("u"), _sums("s").alias("s"))
+    zero = F.array(*[F.lit(0.0)] * len(LABELS))
+    own = files.withColumn("s", _arrays(_share, "e")).groupBy("dir").agg(_sums("u").alias("u"), _sums("s").alias("s"))
     up = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.struct(F.concat_ws("/", F.slice("parts", 1, k)).alias("dir"), (k - 1).alias("depth"), F.when(k > 1, F.lower(F.element_at("parts", k.cast("int")))).alias("name"), (k == F.size("parts")).alias("self")))
-    every = own.withColumn("parts", F.split("dir", "/")).select("u", "s", F.explode(up).alias("d")).select("d.*", "s", F.when(F.col("d.self"), F.col("u")).otherwise(F.transform("u", lambda x: x * 0)).alias("u"))
+    every = own.withColumn("parts", F.split("dir", "/")).select("u", "s", F.explode(up).alias("d")).select("d.*", "s", F.when(F.col("d.self"), F.col("u")).otherwise(zero).alias("u"))
     dirs = cut(every.groupBy("dir", "depth", "name").agg(_sums("u").alias("u"), _sums("s").alias("s")))
     base = dirs.where("depth = 0").agg(_sums("s").alias("s")).first().s
     total = sum(x or 0 for x in base)
     if not total:
-        return dirs.select("dir", "depth", "u", F.transform("u", lambda x: x * 0).alias("pot"))
-    mix = F.array(*(F.lit(max(x, 0.5) / total) for x in base))
-    names = dirs.where("name is not null").groupBy("name").agg(_sums("s").alias("all"), F.count("*").alias("n")).where("n > 1").drop("n")
-    names = cut(names)
+        return dirs.select("dir", "depth", "u", zero.alias("pot"))
+    mix = np.array([max(x, 0.5) / total for x in base])
+    names = cut(dirs.where("name is not null").groupBy("name").agg(_sums("s").alias("all"), F.count("*").alias("n")).where("n > 1").drop("n"))
     if at_most(names, BROADCAST_SHINGLES):
         dirs = dirs.join(F.broadcast(names), "name", "left")
     else:
         dirs = spread_join(dirs, "name", names, hot_keys(dirs, "name"), "dir", "left")
-    # a name that stands twice in one path counts in both places, hence no less than nothing
-    rest = F.transform(_plus(F.coalesce("all", F.col("s")), "s", -1), lambda x: F.greatest(x, F.lit(0.0)))
     known = F.array(*(F.when(F.col("name").isin(*DIRECTORIES[k]), NAME_KNOWN).otherwise(0.0) if k in DIRECTORIES else F.lit(0.0) for k in LABELS))
-    dirs = dirs.withColumn("rest", rest).withColumn("rest", _plus("rest", F.when(F.col("name").isNotNull(), known).otherwise(_lit([0.0] * len(LABELS))))).withColumn("n", F.aggregate("rest", F.lit(0.0), lambda a, v: a + v))
-    odds = F.zip_with("rest", mix, lambda x, m: F.log((x + NAME_PRIOR * m) / (F.col("n") + NAME_PRIOR) / m))
-    pot = F.transform(odds, lambda x: F.greatest(F.lit(-NAME_MOST), F.least(F.lit(NAME_MOST), x)))
-    return dirs.select("dir", "depth", "u", F.when(F.col("n") > 0, pot).otherwise(F.transform("u", lambda x: x * 0)).alias("pot"))
+
+    def potential(every: np.ndarray, own: np.ndarray, known: np.ndarray) -> np.ndarray:
+        # a name that stands twice in one path counts in both places, hence no less than nothing
+        rest = np.maximum(every - own, 0.0) + known
+        odds = np.log((rest + NAME_PRIOR * mix) / (rest.sum(axis=1, keepdims=True) + NAME_PRIOR) / mix)
+        return np.clip(odds, -NAME_MOST, NAME_MOST)
+
+    has = F.col("name").isNotNull()
+    pot = _arrays(potential, F.coalesce("all", "s"), "s", F.when(has, known).otherwise(zero))
+    return dirs.select("dir", "depth", "u", pot.alias("pot"))
 
 
 def propagate(files: DataFrame, by_name: bool = True) -> DataFrame:
@@ -398,7 +411,8 @@ def propagate(files: DataFrame, by_name: bool = True) -> DataFrame:
     """
     parts = F.split(F.coalesce("path", F.lit("")), "/")
     files = files.select("file_id", "e", F.concat_ws("/", F.coalesce(F.regexp_replace("repo", "/", "_"), F.lit("")), F.slice(parts, 1, F.size(parts) - 1)).alias("dir"))
-    files = cut(_up(files, F.col("e"), FILE_IN_DIR, "u"))
+    ship(files)
+    files = cut(files.withColumn("u", _up("e", FILE_IN_DIR)))
     dirs = cut(directories(files))
     if not by_name:
         dirs = dirs.withColumn("pot", F.transform("pot", lambda x: x * 0))
@@ -412,22 +426,22 @@ def propagate(files: DataFrame, by_name: bool = True) -> DataFrame:
         level = dirs.where(F.col("depth") == d).select("dir", _plus("u", "pot").alias("b"))
         if below is not None:
             level = level.unionByName(below).groupBy("dir").agg(_sums("b").alias("b"))
-        beliefs[d] = cut(_up(level, F.col("b"), DIR_IN_DIR, "s").withColumn("parent", parent))
+        beliefs[d] = cut(level.select("dir", "b", _up("b", DIR_IN_DIR).alias("s"), parent.alias("parent")))
         below = beliefs[d].select(F.col("parent").alias("dir"), F.col("s").alias("b"))
     done = [beliefs[0].select("dir", "b")]
     for d in range(1, deepest + 1):
         above = done[-1].select(F.col("dir").alias("parent"), F.col("b").alias("a"))
-        both = _down(beliefs[d].join(above, "parent"), _plus("a", "s", -1), DIR_IN_DIR, "d")
+        both = beliefs[d].join(above, "parent").select("dir", "b", _down(_plus("a", "s", -1), DIR_IN_DIR).alias("d"))
         done.append(cut(both.select("dir", _plus("b", "d").alias("b"))))
     dirs = reduce(DataFrame.unionByName, done)
-    files = _down(files.join(dirs, "dir"), _plus("b", "u", -1), FILE_IN_DIR, "d")
+    files = files.join(dirs, "dir").withColumn("d", _down(_plus("b", "u", -1), FILE_IN_DIR))
     return labelled(files.select("file_id", _plus("e", "d").alias("e")))
 
 
 def labelled(files: DataFrame) -> DataFrame:
     """(file_id, label, p0..p4) by the log-weights ``e`` of each file as they stand."""
     label = F.element_at(F.array(*map(F.lit, LABELS)), F.array_position("e", F.array_max("e")).cast("int"))
-    return _share(files, F.col("e"), "p").select("file_id", label.alias("label"), *(F.col("p")[k].alias(f"p{k}") for k in range(len(LABELS))))
+    return files.withColumn("p", _arrays(_share, "e")).select("file_id", label.alias("label"), *(F.col("p")[k].alias(f"p{k}") for k in range(len(LABELS))))
 
 
 def file_origins(files: DataFrame, texts: DataFrame, upstream: DataFrame) -> DataFrame:
