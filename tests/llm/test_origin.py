@@ -152,11 +152,11 @@ def brute_overlap(texts, upstream):
 
 
 @pytest.mark.parametrize("broadcast", [0, 200_000])
-@pytest.mark.parametrize("bits, rare", [(64, 32), (1 << 16, 3)])
-def test_overlaps(spark, monkeypatch, broadcast, bits, rare):
+@pytest.mark.parametrize("slots, rare", [(4, 32), (1 << 16, 3)])
+def test_overlaps(spark, monkeypatch, broadcast, slots, rare):
     """All routes: shingles broadcast or shuffled, a full filter or a good one, common text in every third-party file."""
     monkeypatch.setattr(origin, "BROADCAST_SHINGLES", broadcast)
-    monkeypatch.setattr(origin, "FILTER_BITS", bits)
+    monkeypatch.setattr(origin, "FILTER_SLOTS", slots)
     monkeypatch.setattr(origin, "RARE", rare)
     rng = random.Random(5)
     word = lambda: rng.choice("abcdefghij")

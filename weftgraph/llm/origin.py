@@ -42,8 +42,8 @@ TOP_LINES = 30
 LONG_LINE = 130
 #: Share of white space from which on a text isn't minified.
 MOST_BLANK = 0.16
-#: Bits of the filter of third-party shingles that tasks get: its size is fixed, more shingles let more through to the join.
-FILTER_BITS = 1 << 24
+#: Slots of the filter of third-party shingles that tasks get, 8 bytes each: its size is fixed, more shingles let more through to the join.
+FILTER_SLOTS = 1 << 20
 #: Third-party files up to which a shingle is counted for each of them.
 RARE = 32
 #: Classes of shingles, and names of directories, up to which their table is broadcast.
@@ -231,37 +231,51 @@ def upstream_shingles(upstream: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"h long, item_id {kind}").distinct()
 
 
-def _filter_bits(shingles: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits with those of all ``shingles`` set; the only thing of them that reaches the driver."""
-    at = F.pmod("h", F.lit(FILTER_BITS))
-    words = shingles.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(h, 64) as int))").alias("b"))
-    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(max(1, FILTER_BITS >> 6), np.int64)
-    bits[found["w"].to_numpy()] = found["b"].to_numpy()
-    return bits.view(np.uint8)
+def _filter(shingles: DataFrame) -> np.ndarray:
+    """A row of 64 bits for each of FILTER_SLOTS slots: in which of 64 groups of third-party files a shingle of that slot stands.
+
+    It is the only thing of ``shingles`` that reaches the driver.
+    """
+    at = F.pmod("h", F.lit(FILTER_SLOTS)).alias("at")
+    group = F.expr("shiftleft(1L, cast(pmod(xxhash64(item_id), 64) as int))").alias("b")
+    found = shingles.select(at, group).groupBy("at").agg(F.bit_or("b").alias("b")).toArrow()
+    slots = np.zeros(FILTER_SLOTS, np.int64)
+    slots[found["at"].to_numpy()] = found["b"].to_numpy()
+    return slots
+
+
+def _candidates(own: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Those of the shingles ``own`` that can count: in groups of which no third-party file can be ruled out.
+
+    No third-party file holds more of them than its group does.
+    """
+    masks = slots[own % len(slots)]
+    some = masks != 0
+    if np.count_nonzero(some) < (MAINLY - AROUND) * len(own) or not len(own):
+        return own[:0]
+    bits = np.unpackbits(masks[some].view(np.uint8).reshape(-1, 8), axis=1)
+    groups = bits.sum(axis=0) >= (MAINLY - AROUND) * len(own)
+    return own[some][bits[:, groups].any(axis=1)]
 
 
 def text_features(texts: DataFrame, shingles: DataFrame) -> DataFrame:
     """(file_id, FEATURES, shingles, hits) of each file of ``texts`` (file_id, content), every text read once and whole.
 
-    ``shingles``: how many distinct ones the text has; ``hits``: those that may be among the third-party
-    ``shingles`` (h): all that are, and few others. Of several texts of a file one counts, chosen by a digest. A null content is
+    ``shingles``: how many distinct ones the text has; ``hits``: those that may be in a third-party file of
+    ``shingles`` (h, item_id) that holds the least share that counts; all that are, and some others. Of several texts of a file one counts, chosen by a digest. A null content is
     an empty text.
     """
     kind = texts.schema["file_id"].dataType.simpleString()
-    shared = texts.sparkSession.sparkContext.broadcast(_filter_bits(shingles))
-    size = FILTER_BITS
+    shared = texts.sparkSession.sparkContext.broadcast(_filter(shingles))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = _Hashes(), shared.value
+        hashes, slots = _Hashes(), shared.value
         for b in batches:
             rows = []
             for x in b["content"].cast(pa.binary()):
                 t = x.as_py().decode("utf-8", "replace") if x.is_valid else ""
                 own = _shingles(t, hashes)
-                at = own % size
-                hits = own[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-                rows.append((*features(t), xxhash.xxh3_64_intdigest(t) >> 1, len(own), hits))
+                rows.append((*features(t), xxhash.xxh3_64_intdigest(t) >> 1, len(own), _candidates(own, slots)))
             cols = list(zip(*rows)) if rows else [()] * len(_COLUMNS)
             yield pa.RecordBatch.from_arrays([b["file_id"], *(pa.array(c, t) for c, t in zip(cols, _TYPES))], ["file_id", *_COLUMNS])
 
