@@ -162,20 +162,45 @@ def test_changed_paths(spark):
 
 
 def test_manifest_survives_failures(spark, tmp_path):
-    m = incremental.Manifest(spark, str(tmp_path), ["path"], ["content_hash"])
-    listing = lambda rows: spark.createDataFrame(rows, "path string, content_hash long, size long")
-    keep = lambda df: df.select("path", "content_hash")
-    assert m.run("b1", listing([("a", 1, 9), ("b", 2, 9), ("b", 2, 9)]), keep) == 2
-    assert m.run("b1", listing([("a", 1, 9), ("z", 2, 9)]), keep) == 0  # that batch is committed
+    m = incremental.Manifest(spark, str(tmp_path), ["path"], ["size", "content_hash"])
+    listing = lambda rows: spark.createDataFrame(rows, "path string, content_hash long, size long, note string")
+    a, b, c = ("a", 1, 9, "x"), ("b", 2, 9, "x"), ("c", None, 9, "x")
+    keep = lambda df: df.select("path", "content_hash", "size")
+    assert m.run("b1", listing([a, b, b]), keep) == 2
+    assert m.run("b1", listing([a, ("z", 2, 9, "x")]), keep) == 0  # that batch is committed
 
     def dies(df):
         df.write.mode("overwrite").parquet(str(tmp_path / "half"))
         raise OSError("lost")
 
+    b3 = ("b", 3, 9, "x")
     with pytest.raises(OSError):
-        m.run("b2", listing([("a", 1, 9), ("b", 3, 9), ("c", None, 9)]), dies)
-    assert m.run("b2", listing([("a", 1, 9), ("b", 3, 9), ("c", None, 9)]), keep) == 2
-    assert sorted(map(tuple, m.output().select("path", "content_hash").collect()), key=str) == sorted([("a", 1), ("b", 2), ("b", 2), ("b", 3), ("c", None)], key=str)
-    assert m.run("b3", listing([("a", 1, 9), ("b", 3, 9), ("c", None, 9)]), keep) == 0
+        m.run("b2", listing([a, b3, c]), dies)
+    assert m.run("b2", listing([a, b3, c]), keep) == 2
+    assert sorted(map(tuple, m.output().collect()), key=str) == sorted([("a", 1, 9), ("b", 2, 9), ("b", 3, 9), ("c", None, 9)], key=str)
+    assert m.run("b3", listing([a, b3, c]), keep) == 0
+    assert m.run("b4", listing([("a", 1, 8, "x"), b3, c]), keep) == 1  # another size
     with pytest.raises(RuntimeError):
         m.versions.commit(1, {"batches": []})
+
+
+def test_manifest_gone_and_back(spark, tmp_path):
+    m = incremental.Manifest(spark, str(tmp_path), ["path"], ["content_hash"])
+    m.COMPACT = 2
+    listing = lambda *rows: spark.createDataFrame(rows, "path string, content_hash long")
+    assert [m.run(f"{k}", listing(*rows)) for k, rows in enumerate([[("a", 1), ("b", 2)], [("b", 2)], [("a", 1), ("b", 2)], [("a", 1)], [("a", 1), ("b", 2)]])] == [2, 0, 1, 0, 1]
+    assert len(m._state()[1]["entries"]) <= 2
+    gone = spark.createDataFrame([("a", None, True), ("d", 5, False)], "path string, content_hash long, gone boolean")
+    assert m.run("5", gone, complete=False) == 1 and m.run("6", listing(("a", 1)), complete=False) == 1
+    assert {(r.path, r.gone) for r in m.entries().collect()} == {("a", False), ("b", False), ("d", False)}
+
+
+def test_manifest_late_observations(spark, tmp_path):
+    m = incremental.Manifest(spark, str(tmp_path), ["path"], ["content_hash"], ["seen"])
+    rows = [("a", 1, 5, "x", 1), ("a", 2, 3, "y", 2), ("a", 1, 6, "z", 3), ("a", 3, 7, "z", 3), ("b", 1, 1, "y", 2)]
+    df = spark.createDataFrame(rows, "path string, content_hash long, seen int, batch string, nr int")
+    assert m.run_batches(["x", "y", "z"], df, lambda d: d.select("batch", "path", "content_hash")) == 3
+    assert {tuple(r) for r in m.output().collect()} == {("x", "a", 1), ("y", "b", 1), ("z", "a", 3)}
+    assert m.run("w", df.where("seen = 6").drop("batch", "nr"), lambda d: d.select("batch", "path", "content_hash"), complete=False) == 0
+    with pytest.raises(ValueError):
+        m.run_batches(["z", "new"], df)

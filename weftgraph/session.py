@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,18 +30,29 @@ def get_session(app: str = "weftgraph", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with an eager reliable checkpoint.
-
-    Uses the shared folder named in ``spark.checkpoint.dir``; only where the session has none
-    (tests, local runs) a temporary folder is set.
-    """
-    sc = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and work tables: what ``spark.checkpoint.dir`` names. Only a local
+    session without one gets a temporary folder; on a cluster executors couldn't see it."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftgraph-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with an eager reliable checkpoint in the shared folder."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables of this run, in the shared folder."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no further than that."""
     return df.limit(rows + 1).count() <= rows

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
 class Versions:
     """``v<N>.json`` files in a folder of any file system Spark knows; the highest N is current.
 
-    A version is written under another name and renamed; the rename fails if that version exists, so of two
-    writers one wins, and a reader never sees half a state.
+    A version is written under another name and then put in place by one step that fails if the version is there: a
+    hard link on a local file system, a rename without overwriting elsewhere. So of two writers one wins, and a
+    reader never sees half a state. On object stores, where such a rename isn't atomic, there must be one writer.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -40,12 +44,21 @@ class Versions:
 
     def commit(self, version: int, state: dict) -> None:
         """Make ``state`` version ``version``; it fails if another writer was there first."""
-        to, tmp = self._path(f"v{version}.json"), self._path(f"_tmp-{version}-{self.spark.sparkContext.applicationId}")
+        to, tmp = self._path(f"v{version}.json"), self._path(f"_tmp-{version}-{uuid.uuid4().hex}")
         out = self._fs.create(tmp, True)
         out.write(bytearray(json.dumps(state), "utf-8"))
         out.close()
-        if self._fs.exists(to) or not self._fs.rename(tmp, to):
-            raise RuntimeError(f"version {version} was committed by another run")
+        try:
+            if self._fs.getScheme() == "file":
+                os.link(tmp.toUri().getPath(), to.toUri().getPath())
+            else:
+                jvm = self.spark._jvm.org.apache.hadoop.fs
+                none = self.spark.sparkContext._gateway.new_array(getattr(jvm, "Options$Rename"), 0)
+                jvm.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(tmp, to, none)
+        except (FileExistsError, Py4JJavaError) as e:
+            raise RuntimeError(f"version {version} was committed by another run") from e
+        finally:
+            self._fs.delete(tmp, False)
 
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
