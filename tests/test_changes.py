@@ -53,7 +53,7 @@ def brute_changes(rows, log):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_snapshots(spark, seed):
+def test_snapshots(spark, tmp_path, seed):
     rng = random.Random(seed)
     log = {(r, n): rng.choice(["complete", "complete", "complete", "partial"]) for r in ("hot", "b") for n in (1, 2, 4, 7, 9)}
     rows = []
@@ -65,15 +65,19 @@ def test_snapshots(spark, seed):
     df = spark.createDataFrame(rows, SNAP)
     logs = spark.createDataFrame([(r, n, s, "x") for (r, n), s in log.items()], "repo string, snapshot_no int, status string, key string")
     want = brute_changes(rows, {k for k, s in log.items() if s == "complete"})
-    changes = snapshots.snapshot_changes(df, logs, n_chunks=5)
+    changes = snapshots.snapshot_changes(df, logs, chunks=5)
     got = [tuple(r) for r in snapshots.changed_relations(changes).collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    # an earlier dictionary keeps its ordinals and changes nothing
-    known = snapshots.key_ordinals(df.where("snapshot_no < 4"), 5)
-    more = snapshots.key_ordinals(df, 5, known)
-    assert known.exceptAll(more).count() == 0 and more.groupBy("chunk", "ord").count().where("count > 1").count() == 0
-    again = snapshots.changed_relations(snapshots.snapshot_changes(df, logs, known, 5))
+    # the dictionary of earlier deliveries keeps its ordinals when it grows, even in chunks, and changes nothing
+    d = snapshots.KeyDictionary(spark, str(tmp_path))
+    first, n = d.extend(df.where("snapshot_no < 4 and key < 'k4'"), 2)
+    old = {(r.repo, r.key): r.ord for r in first.collect()}
+    assert n == 2 and old
+    again = snapshots.changed_relations(snapshots.snapshot_changes(df, logs, str(tmp_path), 5))
     assert {tuple(r) for r in again.collect()} == want
+    more, n = d.extend(df.limit(0))
+    rows = more.collect()
+    assert n == 8 and {(r.repo, r.key): r.ord for r in rows}.items() >= old.items() and len({(r.chunk, r.ord) for r in rows}) == len(rows) > len(old)
 
 
 def test_snapshots_empty(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.keys import pack_key, unpack_key
-from ..session import cut, partitions, small
+from ..session import cut, input_bytes, partitions, small
 
 #: Partial states that one task merges per key in one round.
 FAN_IN = 32
@@ -24,8 +24,7 @@ def _input_chunks(df: DataFrame) -> int:
     """About how many partitions feed ``df``; it only decides the number of rounds."""
     spark = df.sparkSession
     most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b").rstrip("B"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(partitions(df), math.ceil(size / max(most, 1)))
+    return max(partitions(df), math.ceil((input_bytes(df) or 0) / max(most, 1)))
 
 
 def tree_sum(df: DataFrame, keys: list[str], values: list[str], fan_in: int = FAN_IN, chunks: int | None = None) -> DataFrame:
@@ -49,9 +48,16 @@ def tree_sum(df: DataFrame, keys: list[str], values: list[str], fan_in: int = FA
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """The keys of ``df`` that hold over 1 / (HOT * partitions) of its rows; so many at most."""
-    n = partitions(df)
-    counts = tree_sum(df.where(F.col(key).isNotNull()).select(key, F.lit(1).alias("n")), [key], ["n"])
-    return counts.where(F.col("n") * HOT * n > df.count()).select(key)
+    return hot_ends(df, [key])[key]
+
+
+def hot_ends(df: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """``hot_keys`` of each of ``keys`` (of one type), from one pass over ``df``: rows of both ends and all totals are counted together."""
+    one = lambda k: F.struct(F.lit(k).alias("end"), F.col(k).alias("key"), F.lit(1).alias("n"))
+    counts = cut(tree_sum(df.select(F.inline(F.array(*map(one, keys)))), ["end", "key"], ["n"]))
+    total = F.broadcast(counts.groupBy("end").agg(F.sum("n").alias("all")))  # a row per end
+    hot = counts.join(total, "end").where(F.col("key").isNotNull() & (F.col("n") * HOT * partitions(df) > F.col("all")))
+    return {k: hot.where(F.col("end") == k).select(F.col("key").alias(k)) for k in keys}
 
 
 def spread_join(df: DataFrame, key: str, dim: DataFrame, hot: DataFrame, salt_by: str, how: str = "inner") -> DataFrame:
@@ -95,15 +101,15 @@ def symbol_degrees(edges: DataFrame, nodes: DataFrame, files: DataFrame, stubs:
     Edges with a null end or edge_id don't count. Symbols without edges have degree 0.
     """
     raw = edges.select("edge_id", "src", "dst", "owner_path", "segment_id").where("edge_id is not null and src is not null and dst is not null")
-    hot_src, hot_dst = (hot_keys(raw.select(pack_key(F.col(c)).alias(c)), c) for c in ("src", "dst"))
+    hot = hot_ends(raw.select(*(pack_key(F.col(c)).alias(c) for c in ("src", "dst"))), ["src", "dst"])
     live = raw.join(small(current_segments(files).withColumnRenamed("path", "owner_path")), ["owner_path", "segment_id"], "left_semi")
     once = (
         live.select("edge_id", F.struct(pack_key(F.col("src")).alias("src"), pack_key(F.col("dst")).alias("dst")).alias("ends"))
         .groupBy("edge_id").agg(F.max("ends").alias("ends")).select("edge_id", "ends.*")
     )
     symbols = cut(current_nodes(nodes, files, stubs).select(pack_key(F.col("key")).alias("key"), "kind").where("kind is null or kind <> 'block'"))
-    good = spread_semi(once, "src", symbols.select(F.col("key").alias("src")), hot_src, "edge_id")
-    good = spread_semi(good, "dst", symbols.select(F.col("key").alias("dst")), hot_dst, "edge_id")
+    good = spread_semi(once, "src", symbols.select(F.col("key").alias("src")), hot["src"], "edge_id")
+    good = spread_semi(good, "dst", symbols.select(F.col("key").alias("dst")), hot["dst"], "edge_id")
     side = lambda c: F.struct(F.col(c).alias("key"), F.lit(int(c == "src")).alias("degree_out"), F.lit(int(c == "dst")).alias("degree_in"))
     ends = good.select(F.inline(F.array(side("src"), side("dst"))))
     degree = tree_sum(ends, ["key"], ["degree_out", "degree_in"])

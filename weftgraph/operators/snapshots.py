@@ -1,7 +1,7 @@
 """What changed between consecutive full snapshots.
 
-Keys get persistent ordinals inside hash chunks; per chunk, repo and snapshot a compressed bitmap
-holds the ordinals present, and column vectors aligned with them hold fingerprints of the compared
+Keys get persistent ordinals inside hash chunks, kept in a stored dictionary; per chunk, repo and snapshot a compressed
+bitmap holds the ordinals present, and column vectors aligned with them hold fingerprints of the compared
 fields. AND-NOT of two bitmaps gives additions and removals, comparing the vectors of the common
 ordinals gives the changes. A chunk takes keys of all repos by hash, so a repo that holds most rows
 is spread over all chunks, and no task holds more than a chunk.
@@ -11,16 +11,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bitmap import Bitmap
-from ..session import partitions, ship, small
+from ..session import input_bytes, partitions, ship, small, work_folder
+from ..sources.versions import Versions
 
 #: Relations that don't count when edges are compared.
 IGNORED_RELATIONS = ("contains", "method", "succeeds", "defines", "uses", "local_flow")
-#: Rows aimed at per chunk; it bounds what one task holds in memory.
-CHUNK_ROWS = 40_000
+#: Bytes of stored input aimed at per chunk; it bounds what one task holds in memory.
+CHUNK_BYTES = 8 << 20
 
 _OUT = "repo string, snapshot_no long, key string, what string, edge_delta array<struct<rel: string, n: long>>"
 _NONE = "\x00"
@@ -31,23 +32,43 @@ def chunk_of(n_chunks: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n_chunks)).cast("int")
 
 
-def key_ordinals(rows: DataFrame, n_chunks: int, known: DataFrame | None = None) -> DataFrame:
-    """The dictionary (repo, key, chunk, ord) of all keys in ``rows`` and in ``known``.
+class KeyDictionary:
+    """The ordinals of all keys seen so far, in a folder of any file system Spark knows.
 
-    ``known`` is an earlier dictionary of the same ``n_chunks``; its ordinals stay as they are and new
-    keys get the ordinals after the highest of their chunk. Without it ordinals start at 0. Rows with a
-    null repo or key get none.
+    Version N names its number of chunks, a power of two, and the folders that make it up; each delivery appends only its new keys, so
+    an ordinal stays for good. The number of chunks may grow: a chunk then splits in two, and its ordinals are still
+    unique in each. See ``Versions``.
     """
-    keys = rows.select("repo", "key").where("repo is not null and key is not null").distinct()
-    keys = keys.withColumn("chunk", chunk_of(n_chunks, "repo", "key"))
-    w = Window.partitionBy("chunk").orderBy("repo", "key")
-    if known is None:
-        return keys.withColumn("ord", F.row_number().over(w) - 1)
-    known = known.select("repo", "key", "chunk", "ord")
-    top = known.groupBy("chunk").agg(F.max("ord").alias("top"))
-    fresh = keys.join(known, ["repo", "key"], "left_anti").join(top, "chunk", "left")
-    fresh = fresh.withColumn("ord", F.row_number().over(w) + F.coalesce("top", F.lit(-1)))
-    return known.unionByName(fresh.select("repo", "key", "chunk", "ord"))
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.versions = Versions(spark, root)
+
+    def read(self) -> tuple[DataFrame | None, int]:
+        """(repo, key, ord), None before the first delivery, and the number of chunks."""
+        _, state = self.versions.read()
+        folders = state.get("folders", [])
+        return (self.spark.read.parquet(*(f"{self.root}/{f}" for f in folders)) if folders else None), state.get("chunks", 1)
+
+    def extend(self, rows: DataFrame, chunks: int = 1) -> tuple[DataFrame, int]:
+        """(repo, key, chunk, ord) of all keys known and in ``rows``, and the number of chunks: the known one or, if greater, the power
+        of two from ``chunks`` on. New keys get the ordinals after the highest of their chunk. Rows with a null repo or key get none.
+        """
+        version, state = self.versions.read()
+        known, have = self.read()
+        chunks = max(have, 1 << max(0, chunks - 1).bit_length())
+        keys = rows.select("repo", "key").where("repo is not null and key is not null").distinct().withColumn("chunk", chunk_of(chunks, "repo", "key"))
+        w = Window.partitionBy("chunk").orderBy("repo", "key")
+        nr = F.row_number().over(w) - 1
+        if known is None:
+            fresh = keys.withColumn("ord", nr)
+        else:
+            top = known.groupBy(chunk_of(chunks, "repo", "key").alias("chunk")).agg((F.max("ord") + 1).alias("top"))
+            fresh = keys.join(known, ["repo", "key"], "left_anti").join(top, "chunk", "left").withColumn("ord", nr + F.coalesce("top", F.lit(0)))
+        folder = f"keys/v{version + 1}"
+        fresh.select("repo", "key", "ord").write.mode("overwrite").parquet(f"{self.root}/{folder}")
+        self.versions.commit(version + 1, {"chunks": chunks, "folders": [*state.get("folders", []), folder]})
+        return self.read()[0].withColumn("chunk", chunk_of(chunks, "repo", "key")), chunks
 
 
 def _fingerprints(rows: DataFrame) -> DataFrame:
@@ -78,8 +99,9 @@ def _delta(old: str | None, new: str | None) -> list[dict]:
     return [{"rel": r, "n": b.get(r, 0) - a.get(r, 0)} for r in sorted(a.keys() | b.keys()) if b.get(r, 0) != a.get(r, 0)]
 
 
-def _compare_chunk(table: pa.Table) -> pa.Table:
-    """All changes between consecutive snapshots within one chunk of keys."""
+def _compare_chunk(rows: pa.Table, ordinals: pa.Table) -> pa.Table:
+    """All changes between consecutive snapshots within one chunk of keys; ``ordinals`` (repo, key, ord) is the chunk's dictionary."""
+    table = rows.join(ordinals.select(["repo", "key", "ord"]), ["repo", "key"], join_type="inner").combine_chunks()
     repo, key = table["repo"].to_numpy(zero_copy_only=False), table["key"]
     order = np.lexsort((table["ord"].to_numpy(), table["pos"].to_numpy(), table["repo"].combine_chunks().dictionary_encode().indices.to_numpy()))
     table, repo, key = table.take(order), repo[order], key.take(order)
@@ -124,15 +146,16 @@ def _compare_chunk(table: pa.Table) -> pa.Table:
     return pa.table(out, pa.schema([("repo", pa.string()), ("snapshot_no", pa.int64()), ("key", pa.string()), ("what", pa.string()), ("edge_delta", pa.list_(pa.struct([("rel", pa.string()), ("n", pa.int64())])))]))
 
 
-def snapshot_changes(rows: DataFrame, log: DataFrame, known: DataFrame | None = None, n_chunks: int | None = None) -> DataFrame:
+def snapshot_changes(rows: DataFrame, log: DataFrame, root: str | None = None, chunks: int | None = None) -> DataFrame:
     """Changes (repo, snapshot_no, key, what, edge_delta) between consecutive complete snapshots.
 
     ``rows``: repo, snapshot_no, delivered_at, key, params, def_hash, edges; ``log``: repo, snapshot_no, status.
-    ``known``: an earlier dictionary of ``key_ordinals`` of the same ``n_chunks``, to keep its ordinals.
+    ``root``: the folder of the dictionary of ordinals, which is read and extended; one of its own in the shared work folder
+    by default. ``chunks``: the least number of chunks; by default from the size of the input as the file system tells it.
 
     * Only snapshots logged ``complete`` count; each is compared with the complete one before it in its repo.
     * Of several rows of a key in a snapshot the latest delivered counts (null delivered_at is earliest; of
-      equal ones the greatest by fingerprint, so repeated rows change nothing).
+      equal ones the least by fingerprint, so repeated rows change nothing).
     * ``what``: added, removed, signature, definition or bindings, the first that applies. Null params and
       edges are empty, null def_hash is 0; a null in an array is a value of its own.
     * ``edge_delta``: the net change of counted edges by relation, without zeros; for added and removed keys
@@ -147,24 +170,19 @@ def snapshot_changes(rows: DataFrame, log: DataFrame, known: DataFrame | None =
         .select("repo", F.col("snapshot_no").cast("long")).distinct()
         .withColumns({"pos": F.row_number().over(of_repo) - 1, "next_no": F.lead("snapshot_no").over(of_repo)})
     )
-    if n_chunks is None:
-        n_chunks = max(partitions(rows), -(-rows.count() // CHUNK_ROWS))
+    chunks = chunks or max(partitions(rows), -(-(input_bytes(rows) or 0) // CHUNK_BYTES))
     rows = (
         rows.where("key is not null")
         .select("repo", F.col("snapshot_no").cast("long"), "key", "delivered_at", "params", "def_hash", "edges")
         .join(small(complete), ["repo", "snapshot_no"])
-        .withColumn("chunk", chunk_of(n_chunks, "repo", "key"))
-    )
+    )
+    ordinals, chunks = KeyDictionary(rows.sparkSession, root or work_folder(rows.sparkSession, "ordinals")).extend(rows, chunks)
     # one shuffle: all below is clustered by chunk
-    rows = _fingerprints(rows).repartition("chunk")
+    rows = _fingerprints(rows.withColumn("chunk", chunk_of(chunks, "repo", "key"))).repartition("chunk")
     last = Window.partitionBy("chunk", "repo", "key", "pos").orderBy(F.col("delivered_at").desc_nulls_last(), "s1", "d", "e1", "counts")
     rows = rows.withColumn("rank", F.row_number().over(last)).where("rank = 1")
-    if known is None:
-        rows = rows.withColumn("ord", F.dense_rank().over(Window.partitionBy("chunk").orderBy("repo", "key")) - 1)
-    else:
-        rows = rows.join(key_ordinals(rows, n_chunks, known).drop("chunk"), ["repo", "key"])
-    rows = rows.select("chunk", "repo", "snapshot_no", "key", "pos", "next_no", "ord", "counts", "s1", "s2", "e1", "e2", "d")
-    return rows.groupBy("chunk").applyInArrow(_compare_chunk, _OUT)
+    rows = rows.select("chunk", "repo", "snapshot_no", "key", "pos", "next_no", "counts", "s1", "s2", "e1", "e2", "d")
+    return rows.groupBy("chunk").cogroup(ordinals.groupBy("chunk")).applyInArrow(_compare_chunk, _OUT)
 
 
 def changed_relations(changes: DataFrame) -> DataFrame:
