@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import small, work_folder
+from ..session import cut, small, work_folder
 from ..sources.versions import Versions
 
 
@@ -104,7 +104,7 @@ class Manifest:
         so_far = Window.partitionBy(*self.keys).orderBy("nr")
         seen = at.withColumn("batch", F.col("batch").cast("string")).unionByName(before)
         seen = seen.withColumn("v", F.max("v").over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
-        seen = seen.select(*self.keys, "nr", "batch", "v.*", F.coalesce(F.lag("nr").over(so_far), F.lit(-1)).alias("version"))
+        seen = cut(seen.select(*self.keys, "nr", "batch", "v.*", F.coalesce(F.lag("nr").over(so_far), F.lit(-1)).alias("version")))
         manifest = seen.where("not gone").select(*self.keys, F.col("nr").alias("version"), *self.checksum)
         listed = seen.where("nr > 0")
         folder = f"v{version + 1}"
