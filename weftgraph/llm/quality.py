@@ -1,14 +1,15 @@
 """Per-document text statistics, and the documents that are no natural prose.
 
-Each statistic is sketched per language by a mergeable quantile sketch (KLL) over all documents. Values
-become percentiles and robust z-scores (distance from the median in units of the smaller of the two quarters
-beside it), and a document in a tail that prose doesn't reach is flagged.
+Each statistic is sketched per language by a mergeable quantile sketch (KLL) over all documents. Values become percentiles
+and robust z-scores (distance from the median in units of the smaller of the two quarters beside it, both read off the
+sketch), and a document is flagged whose scores on the sides that prose doesn't reach are large together.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +25,18 @@ COMMON = {
     "fr": "le la les de des du et en un une que qui dans pour par sur pas ne est au aux il elle ce cette se sa son ses leur leurs a été avait ont sont était y où ou mais si plus être avoir fait sans sous entre après avant avec comme dont lorsque lui cet ces même aucun aucune rien tout tous à ni n'a n'est qu'il",
     "es": "el la los las de del y en un una que no por con para se su sus al lo es fue era ha han había hay o como más pero si sin sobre entre este esta estos estas ese esa eso ello le les cuando donde quien ser sido está son e u ni hasta desde también según muy ya",
 }
-#: Statistics, the least spread taken for a unit of z, and the tails (-1 low, 1 high) that are not prose.
+#: Statistics and the tails (-1 low, 1 high) that are not prose.
 STATISTICS = {
-    "log_common_share": (0.2, -1),
-    "content_share": (0.06, -1),
-    "running_share": (0.12, -1),
-    "word_char_share": (0.08, -1),
-    "symbol_ratio": (0.03, 1),
-    "repeated_line_share": (0.1, 1),
-    "mean_word_length": (1.0, 1),
-    "short_line_share": (0.15, 1),
-}
-#: Words up to which a line that ends in no punctuation is a short one.
-SHORT_LINE = 7
-#: Robust z-score from which on a value is in a tail.
-TAIL_Z = 5.0
+    "log_n_words": -1, "mean_word_length": 1, "symbol_ratio": 1, "punct_line_share": -1, "log_common_share": -1,
+    "content_share": -1, "running_share": -1, "word_char_share": -1, "repeated_line_share": 1, "short_line_share": 1,
+}
+#: Words up to which a line that ends in no punctuation is a short one, and letters up to which a word is one.
+SHORT_LINE, LONGEST_WORD = 7, 30
+#: Score from which on a document is in the tail: the root of the sum of the fourth powers of its z-scores on those sides, so
+#: that few large ones count and many small ones don't.
+TAIL, POWER = 17.0, 4
+#: A spread below this is rounding.
+ROUNDING = 1e-3
 #: Words of a window, and the shares that make a window running text.
 WINDOW, COMMON_LEAST, COMMON_MOST, OTHER_MOST = 12, 0.15, 0.75, 0.5
 #: Shares of common words below which a language is unknown, and documents below which a language has no sketch of its own.
@@ -73,7 +71,7 @@ class _Words(dict):
         s = token.strip(_STRIP).lower()
         c = self.common.get(s)
         if c is None:
-            if not 1 < len(s) <= 30 or not _WORD.fullmatch(s):
+            if not 1 < len(s) <= LONGEST_WORD or not _WORD.fullmatch(s):
                 c = 0
             else:
                 c = 1 | 4 << _LANGS.index("fr") if _ELIDED.match(s) else 2
@@ -136,8 +134,8 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA.format(kind))
 
 
-def _with_log(stats: DataFrame) -> DataFrame:
-    return stats.withColumn("log_common_share", F.log(F.col("common_share") + 0.01))
+def _with_logs(stats: DataFrame) -> DataFrame:
+    return stats.withColumns({"log_common_share": F.log(F.col("common_share") + 0.01), "log_n_words": F.when(F.col("n_words") > 0, F.log("n_words"))})
 
 
 def sketches(stats: DataFrame) -> DataFrame:
@@ -145,7 +143,7 @@ def sketches(stats: DataFrame) -> DataFrame:
 
     Sketches of parts of a corpus can be merged with ``kll_merge_agg_double``.
     """
-    stats = _with_log(stats).where("n_words > 0")
+    stats = _with_logs(stats).where("n_words > 0")
     of = stats.groupBy(F.col("lang_found").alias("lang")).agg(
         F.count("*").alias("n"), *(F.kll_sketch_agg_double(s, SKETCH_K).alias(s) for s in STATISTICS)
     )
@@ -154,42 +152,49 @@ def sketches(stats: DataFrame) -> DataFrame:
     return of.unionByName(every.where("n > 0"))
 
 
-def _tails(z: dict[str, Column]) -> Column:
-    flag = F.lit(False)
-    for s, (_, side) in STATISTICS.items():
-        flag = flag | (z[s] * side >= TAIL_Z)
-    return flag
+def _unit(s: str) -> Column:
+    """The spread of a sketched statistic: the smaller of the quarters below and above the median that isn't nothing, as the
+    standard deviation of a normal distribution; where over half of the values are the same, a farther rank on either side."""
+    q = lambda p: F.kll_sketch_get_quantile_double(s, F.lit(p))
+    some = lambda c: F.when(c > ROUNDING * 0.1, c)
+    each = []
+    for p, z in ((0.75, 0.6745), (0.9, 1.2816), (0.99, 2.3263)):
+        each.append(F.least(some((q(p) - q(0.5)) / z), some((q(0.5) - q(1 - p)) / z)))  # nulls are skipped
+    return F.greatest(F.coalesce(*each, F.lit(ROUNDING)), F.lit(ROUNDING))
+
+
+def _score(z: dict[str, Column]) -> Column:
+    powers = [F.pow(F.greatest(F.coalesce(z[s], F.lit(0.0)) * side, F.lit(0.0)), POWER) for s, side in STATISTICS.items()]
+    return F.pow(reduce(lambda a, b: a + b, powers), 1 / POWER)
 
 
 def scored(stats: DataFrame, by_lang: DataFrame) -> DataFrame:
     """``stats`` with a robust z-score (``<statistic>_z``) and a percentile (``<statistic>_pct``) of each
-    statistic within the language, and ``in_tail``.
+    statistic within the language, their ``score`` and whether it is ``in_tail``.
 
     The unit of z is the smaller of the quarters below and above the median, which junk of less than half of the
-    rows can't widen, whatever side it lies on. A document of unknown language, of one with few documents, or of
-    one whose median is itself in a tail of all (most of it is junk), is held against all languages.
+    rows can't widen, whatever side it lies on. A document of unknown language, of one with less than DOCUMENTS_LEAST documents, or of
+    one whose median is itself in the tail of all (most of it is junk), is held against all languages.
     Documents without words have null scores and are in no tail.
     """
-    q = lambda s, p: F.kll_sketch_get_quantile_double(s, F.lit(p))
     grid = F.array(*map(F.lit, GRID))
-    units = {s: F.greatest(F.least(q(s, 0.75) - q(s, 0.5), q(s, 0.5) - q(s, 0.25)) / 0.6745, F.lit(floor)) for s, (floor, _) in STATISTICS.items()}
     fit = by_lang.where((F.col("lang") == "*") | ((F.col("lang") != "") & (F.col("n") >= DOCUMENTS_LEAST))).select(
-        "lang", *(q(s, 0.5).alias(f"_m_{s}") for s in STATISTICS), *(F.kll_sketch_get_quantile_double(s, grid).alias(f"_k_{s}") for s in STATISTICS), *(u.alias(f"_u_{s}") for s, u in units.items())
-    )
-    # one row per known language at most, and one for all
+        "lang", *(F.kll_sketch_get_quantile_double(s, F.lit(0.5)).alias(f"_m_{s}") for s in STATISTICS),
+        *(F.kll_sketch_get_quantile_double(s, grid).alias(f"_k_{s}") for s in STATISTICS), *(_unit(s).alias(f"_u_{s}") for s in STATISTICS),
+    )
+    fit = cut(fit)  # one row per known language at most, and one for all
     every = fit.where("lang = '*'").select(*(F.col(f"_{c}_{s}").alias(f"_a{c}_{s}") for c in "mu" for s in STATISTICS))
-    own = fit.where("lang <> '*'").crossJoin(F.broadcast(every)).where(~_tails({s: (F.col(f"_m_{s}") - F.col(f"_am_{s}")) / F.col(f"_au_{s}") for s in STATISTICS}))
+    odd = _score({s: (F.col(f"_m_{s}") - F.col(f"_am_{s}")) / F.col(f"_au_{s}") for s in STATISTICS})
+    own = fit.where("lang <> '*'").crossJoin(F.broadcast(every)).where(odd < TAIL)
     known = F.broadcast(own.select(F.col("lang").alias("lang_found"), F.lit(True).alias("_known")))
-    rows = _with_log(stats).join(known, "lang_found", "left").withColumn("_lang", F.when(F.col("_known"), F.col("lang_found")).otherwise("*"))
-    fit = fit.withColumnRenamed("lang", "_lang")
-    rows = rows.join(F.broadcast(fit), "_lang", "left")
+    rows = _with_logs(stats).join(known, "lang_found", "left").withColumn("_lang", F.when(F.col("_known"), F.col("lang_found")).otherwise("*"))
+    rows = rows.join(F.broadcast(fit.withColumnRenamed("lang", "_lang")), "_lang", "left")
     z = {s: (F.col(s) - F.col(f"_m_{s}")) / F.col(f"_u_{s}") for s in STATISTICS}
     # a rank must be constant for the sketch, so percentiles are read off a grid of its quantiles
     pct = {s: F.when(F.col(s).isNotNull(), F.size(F.filter(f"_k_{s}", lambda g: g <= F.col(s))) / len(GRID)) for s in STATISTICS}
-    return rows.select(
-        *stats.columns, *(z[s].alias(f"{s}_z") for s in STATISTICS), *(pct[s].alias(f"{s}_pct") for s in STATISTICS),
-        F.coalesce(_tails(z), F.lit(False)).alias("in_tail"),
-    )
+    out = rows.select(*stats.columns, *(z[s].alias(f"{s}_z") for s in STATISTICS), *(pct[s].alias(f"{s}_pct") for s in STATISTICS))
+    score = F.when(F.col("n_words") > 0, _score({s: F.col(f"{s}_z") for s in STATISTICS}))
+    return out.withColumn("score", score).withColumn("in_tail", F.coalesce(F.col("score") >= TAIL, F.lit(False)))
 
 
 def not_prose(docs: DataFrame) -> DataFrame:
