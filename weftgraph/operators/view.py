@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..session import cut, small
+from ..session import cut, small, work_folder
 from ..sources.tables import tables
+from ..sources.versions import Versions
 from ..vocab import OWNS, RELATIONS
 from .skew import NOT_HUBS, current_segments, hub_threshold, tree_sum
 
@@ -119,8 +123,54 @@ class Graph:
 
 
 
-
 def open_graph(spark: SparkSession, folder: str) -> Graph:
     """The current graph of the tables nodes, edges, files and library_stubs in a folder."""
-    nodes, edges, files, stubs = tables(spark, folder, "nodes", "edges", "files", "library_stubs")
+    nodes, edges, files, stubs = tables(spark, folder, *_TABLES)
     return Graph(canonical_nodes(nodes, files, stubs), canonical_edges(edges, files))
+
+
+_TABLES = ("nodes", "edges", "files", "library_stubs")
+_open: dict[tuple[str, str, str], Graph] = {}
+
+
+def fingerprint(spark: SparkSession, folder: str, names: tuple[str, ...] = _TABLES) -> str:
+    """A digest of the path, size and time of every file of some tables in a folder; reads no data."""
+    found = []
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        it = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while it.hasNext():
+            f = it.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def open_or_build(spark: SparkSession, folder: str, root: str | None = None) -> Graph:
+    """The kept current graph of a folder: the one built before if its tables are the same files, else built now.
+
+    Nodes, resolved edges and degrees are written, sorted by key, to ``root``, where later sessions find them too; without it to this session's work
+    folder. A build that dies is not found, for its version is committed last.
+    """
+    mark = fingerprint(spark, folder)
+    at = (spark.sparkContext.applicationId, root or "", mark)
+    if at in _open:
+        return _open[at]
+    base = f"{root.rstrip('/')}/{mark[:32]}" if root else work_folder(spark, "graph")
+    versions = Versions(spark, base)
+    if not versions.all():
+        g = open_graph(spark, folder)
+        write = lambda df, name, key: df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{base}/{name}")
+        write(g.nodes, "nodes", "key")
+        nodes = spark.read.schema(g.nodes.schema).parquet(f"{base}/nodes")
+        links = Graph(nodes, g.edges).links
+        write(links, "links", "src")
+        g = Graph(nodes, spark.read.schema(links.schema).parquet(f"{base}/links"))
+        g.__dict__["links"] = g.edges
+        write(g.degrees, "degrees", "key")
+        versions.commit(1, {"nodes": g.nodes.schema.json(), "links": links.schema.json(), "degrees": g.degrees.schema.json(), "hub_cutoff": g.hub_cutoff})
+    _, state = versions.read()
+    table = lambda name: spark.read.schema(StructType.fromJson(json.loads(state[name]))).parquet(f"{base}/{name}")
+    g = Graph(table("nodes"), table("links"), True)
+    g.__dict__ |= {"links": g.edges, "degrees": table("degrees"), "hub_cutoff": state["hub_cutoff"]}
+    _open[at] = g
+    return g

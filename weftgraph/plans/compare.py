@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diff
-from ..operators.view import Graph, canonical_edges, canonical_nodes, open_graph
+from ..operators.view import Graph, canonical_edges, canonical_nodes, open_or_build
 from ..sources.tables import table, tables
 
 
@@ -30,14 +30,14 @@ def f1_changed_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f6_changes(spark: SparkSession, d: str) -> DataFrame:
-    found = diff.changes(_first_graph(spark, d).kept(), open_graph(spark, d).kept())
+    found = diff.changes(_first_graph(spark, d).kept(), open_or_build(spark, d))
     delta = F.concat_ws(",", F.transform("edge_delta", lambda e: F.concat(e["rel"], F.lit(":"), e["n"].cast("string"))))
     return found.select("key", "what", delta.alias("edge_delta"))
 
 
 def f8_breaks(spark: SparkSession, d: str) -> DataFrame:
     old = _first_graph(spark, d).kept()
-    return diff.breaks(old, diff.changes(old, open_graph(spark, d).kept())).select("key", "user")
+    return diff.breaks(old, diff.changes(old, open_or_build(spark, d))).select("key", "user")
 
 
 QUERIES = {f.__name__: f for f in (f1_changed_files, f6_changes, f8_breaks)}

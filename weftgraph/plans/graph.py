@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import name_quality, path_quality, subwords
 from ..operators import deep, index, lookup, security, traverse
-from ..operators.view import Graph, live_rows, open_graph
+from ..operators.view import Graph, live_rows, open_graph, open_or_build
 from ..sources.tables import table
 from ..vocab import BLAST_RADIUS, CALL_FLOW, DATA_FLOW, DEPENDS, ENTRYPOINTS, TAINT, WALK
 
@@ -47,196 +47,196 @@ def v7_live_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def l1_exact_name_any(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.by_exact_name_any(open_graph(spark, d), NAME + "()").select("key", "name", "kind", "path", "line")
+    return lookup.by_exact_name_any(open_or_build(spark, d), NAME + "()").select("key", "name", "kind", "path", "line")
 
 
 def l2_name_with_stubs(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.by_name_with_stubs(open_graph(spark, d), NAME).select("key", "name", "kind", "path", "line")
+    return lookup.by_name_with_stubs(open_or_build(spark, d), NAME).select("key", "name", "kind", "path", "line")
 
 
 def l3_name(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.by_name(open_graph(spark, d), NAME).select("key", "name", "kind", "path", "line")
+    return lookup.by_name(open_or_build(spark, d), NAME).select("key", "name", "kind", "path", "line")
 
 
 def l4_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.by_prefix(open_graph(spark, d), PREFIX).select("key", "name", "kind", "path", "line")
+    return lookup.by_prefix(open_or_build(spark, d), PREFIX).select("key", "name", "kind", "path", "line")
 
 
 def l5_qualified_name(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.by_qualified_name(open_graph(spark, d), OWNED).select("key", "name", "kind", "path", "line")
+    return lookup.by_qualified_name(open_or_build(spark, d), OWNED).select("key", "name", "kind", "path", "line")
 
 
 def l6_search(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.search(open_graph(spark, d), TEXT).select("key", "name", "kind", "path")
+    return lookup.search(open_or_build(spark, d), TEXT).select("key", "name", "kind", "path")
 
 
 def l6_search_by_trigrams(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d)
+    g = open_or_build(spark, d)
     return lookup.search_with_index(g, lookup.trigram_index(g), TEXT).select("key", "name", "kind", "path")
 
 
 def l7_info(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d)
+    g = open_or_build(spark, d)
     return lookup.info(g, lookup.by_prefix(g, PREFIX))
 
 
 def l8_parameters(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d)
+    g = open_or_build(spark, d)
     return lookup.parameters(g, g.nodes.where("is_callable").select("key"))
 
 
 def l9_cfg(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d)
+    g = open_or_build(spark, d)
     rows = lookup.cfg(g, g.nodes.where("is_callable").select("key"))
     return rows.select("function", "block", "index", F.size("successors").alias("n_succ"), F.size("defines").alias("n_def"), F.size("uses").alias("n_use"), F.concat_ws("|", F.transform("successors", lambda s: F.concat_ws(" ", s["index"].cast("string"), s["label"]))).alias("succ"))
 
 
 def l11_counts(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d)
+    g = open_or_build(spark, d)
     live = g.nodes.agg(F.count("*").alias("symbols"))
     return live.withColumn("id_space", F.lit(table(spark, d, "nodes").count() + table(spark, d, "library_stubs").count()))
 
 
 def l12_explain(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d)
+    g = open_or_build(spark, d)
     return lookup.explain(g, g.nodes.where("kind in ('class', 'function', 'local')").select("key"), limit=5)
 
 
 def l13_ranked_search(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.ranked_search(open_graph(spark, d), TEXT)
+    return lookup.ranked_search(open_or_build(spark, d), TEXT)
 
 
 def i1_degrees(spark: SparkSession, d: str) -> DataFrame:
-    return open_graph(spark, d).degrees
+    return open_or_build(spark, d).degrees
 
 
 def i2_hub_cutoff(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d)
+    g = open_or_build(spark, d)
     return spark.createDataFrame([(g.hub_cutoff,)], "cutoff long")
 
 
 def i3_components(spark: SparkSession, d: str) -> DataFrame:
-    return index.components(open_graph(spark, d).kept())
+    return index.components(open_or_build(spark, d))
 
 
 def i4_condensation(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d).kept()
+    g = open_or_build(spark, d)
     return index.condensation(g, index.components(g))
 
 
 def i5_reach_labels(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d).kept()
+    g = open_or_build(spark, d)
     return index.reach_labels(g, index.components(g)).select("key", F.size("lo").alias("k"))
 
 
 def i7_name_postings(spark: SparkSession, d: str) -> DataFrame:
-    n = open_graph(spark, d).nodes.where("kind <> 'block' and norm_name is not null")
+    n = open_or_build(spark, d).nodes.where("kind <> 'block' and norm_name is not null")
     return n.groupBy("norm_name").agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
 
 
 def i8_trigrams(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.trigram_index(open_graph(spark, d)).groupBy("gram").agg(F.count("*").alias("n"))
+    return lookup.trigram_index(open_or_build(spark, d)).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 def i9_degrees_after_delta(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d)
+    g = open_or_build(spark, d)
     gone, new = g.links.where("rel = 'calls' and conf = 'AMBIGUOUS'"), g.links.where("rel = 'references'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return index.degree_delta(g.degrees, new, gone)
 
 
 def i11_hubs(spark: SparkSession, d: str) -> DataFrame:
-    return index.hubs(open_graph(spark, d), 10)
+    return index.hubs(open_or_build(spark, d), 10)
 
 
 def i12_edge_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return index.edge_histogram(open_graph(spark, d))
+    return index.edge_histogram(open_or_build(spark, d))
 
 
 def i13_stats(spark: SparkSession, d: str) -> DataFrame:
-    return index.stats(open_graph(spark, d))
+    return index.stats(open_or_build(spark, d))
 
 
 def t1_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d)
+    g = open_or_build(spark, d)
     return traverse.neighbors(g, g.nodes.where("kind = 'class'").select("key"), "both").select("key", "other", "rel", "line", "edge_id")
 
 
 def t2_walk(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d).kept()
+    g = open_or_build(spark, d)
     return traverse.walk(g, _seeds(g), 2)
 
 
 def t3_blast_radius(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d).kept()
+    g = open_or_build(spark, d)
     return traverse.blast_radius(g, _seeds(g), 2).select("key", "depth")
 
 
 def t4_shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d).kept()
+    g = open_or_build(spark, d)
     path = traverse.shortest_path(g, *_ends(g))
     return spark.createDataFrame([(len(path) - 1, "/".join(path))] if path else [], "hops int, path string")
 
 
 def t5_taint_path(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d).kept()
+    g = open_or_build(spark, d)
     a, b = _ends(g)
     path = traverse.taint_path(g, [a], [b], frozenset({"calls"}), 12)
     return spark.createDataFrame([(len(path) - 1,)] if path else [], "hops int")
 
 
 def t6_reachable_set(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d).kept()
+    g = open_or_build(spark, d)
     return traverse.reachable_set(g, _seeds(g), TAINT)
 
 
 def t7_paths_avoiding(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d).kept()
+    g = open_or_build(spark, d)
     e = security.ends(g, SPEC)
     return traverse.paths_avoiding(g, e.sources, e.sinks, e.sanitizers, CALL_FLOW, SPEC.max_hops).select("source", "sink", (F.size("path") - 1).alias("hops"))
 
 
 def t8_value_paths(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d).kept()
+    g = open_or_build(spark, d)
     e = security.ends(g, FLOW)
     return traverse.value_paths(g, e.sinks, e.sources, e.sanitizers, FLOW.max_hops, FLOW.context_depth).select("sink", "source", (F.size("path") - 1).alias("hops"))
 
 
 def t9_impact(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d).kept()
-    return traverse.impact(g, _seeds(g), 2, most=None).select("key", "depth", "via")
+    g = open_or_build(spark, d)
+    return traverse.impact(g, _seeds(g), 2, fanout=100).select("key", "depth", "via")
 
 
 def t10_owner_chain(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d).kept()
+    g = open_or_build(spark, d)
     return traverse.owner_chain(g, g.nodes.where("kind in ('method', 'field', 'parameter')").select("key")).select("key", F.concat_ws(".", "chain").alias("chain"))
 
 
 def d2_subwords(spark: SparkSession, d: str) -> DataFrame:
-    return open_graph(spark, d).nodes.where("name is not null").select("key", F.concat_ws(" ", subwords(F.col("name"))).alias("words"))
+    return open_or_build(spark, d).nodes.where("name is not null").select("key", F.concat_ws(" ", subwords(F.col("name"))).alias("words"))
 
 
 def d3_name_quality(spark: SparkSession, d: str) -> DataFrame:
     q = name_quality(F.col("name"), "cursor")
-    return open_graph(spark, d).nodes.select("key", q.alias("quality")).where("quality is not null")
+    return open_or_build(spark, d).nodes.select("key", q.alias("quality")).where("quality is not null")
 
 
 def d4_path_quality(spark: SparkSession, d: str) -> DataFrame:
     q = F.round(path_quality(F.col("path"), "cursor"), 4)
-    return open_graph(spark, d).nodes.select("key", q.alias("quality")).where("quality is not null")
+    return open_or_build(spark, d).nodes.select("key", q.alias("quality")).where("quality is not null")
 
 
 def d12_deep_search(spark: SparkSession, d: str) -> DataFrame:
-    hits = deep.deep_search(open_graph(spark, d).kept(), TERMS, limit=50)
+    hits = deep.deep_search(open_or_build(spark, d), TERMS, limit=50)
     return hits.withColumn("reasons", F.concat_ws("; ", "reasons"))
 
 
 def d11_edge_filters(spark: SparkSession, d: str) -> DataFrame:
-    hits = deep.deep_search(open_graph(spark, d).kept(), f"kind:function calls:{NAME}", limit=None)
+    hits = deep.deep_search(open_or_build(spark, d), f"kind:function calls:{NAME}", limit=None)
     return hits.select("key", "name", "path", "line")
 
 
 def k1_matchers(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d)
+    g = open_or_build(spark, d)
     asked = {"name": NAME, "prefix": "load*", "contains": "*ledger*", "suffix": "*cursor", "member": "Get.setup", "members": "Get.*"}
     parts = [security.pattern(p).keys(g, stubs=True).select(F.lit(k).alias("matcher"), "key") for k, p in asked.items()]
     out = parts[0]
@@ -246,29 +246,29 @@ def k1_matchers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k9_entrypoints(spark: SparkSession, d: str) -> DataFrame:
-    return security.entrypoints(open_graph(spark, d))
+    return security.entrypoints(open_or_build(spark, d))
 
 
 def k10_live_set(spark: SparkSession, d: str) -> DataFrame:
-    return security.live_set(open_graph(spark, d).kept())
+    return security.live_set(open_or_build(spark, d))
 
 
 def k11_call_graph_audit(spark: SparkSession, d: str) -> DataFrame:
-    return security.audit(open_graph(spark, d).kept(), SPEC).select("rule", "source", "sink", "hops", "live")
+    return security.audit(open_or_build(spark, d), SPEC).select("rule", "source", "sink", "hops", "live")
 
 
 def k12_dataflow_audit(spark: SparkSession, d: str) -> DataFrame:
-    return security.audit(open_graph(spark, d).kept(), FLOW).select("rule", "source", "sink", "hops", "live")
+    return security.audit(open_or_build(spark, d), FLOW).select("rule", "source", "sink", "hops", "live")
 
 
 def k16_package_reach(spark: SparkSession, d: str) -> DataFrame:
-    g = open_graph(spark, d).kept()
+    g = open_or_build(spark, d)
     top = index.packages(g).orderBy(F.desc("importers"), "name").first()
     return security.package_reach(g, top.name)
 
 
 def k17_packages(spark: SparkSession, d: str) -> DataFrame:
-    return index.packages(open_graph(spark, d))
+    return index.packages(open_or_build(spark, d))
 
 
 QUERIES = {

@@ -25,10 +25,11 @@ def to_json(g: Graph, findings: DataFrame) -> DataFrame:
     return f.select(F.to_json(F.struct(*sorted(f.columns))).alias("value"))
 
 
-def to_text(g: Graph, findings: DataFrame, limit: int = 100) -> str:
-    """The first findings as text, worst severity, live and short ones first."""
+def to_text(g: Graph, findings: DataFrame, limit: int | None = None) -> str:
+    """The findings as text, worst severity, live and short ones first; the first ``limit`` of them, if given."""
     order = F.when(F.col("severity") == "ERROR", 0).when(F.col("severity") == "WARNING", 1).otherwise(2)
-    rows = with_names(g, findings).orderBy(order, F.desc("live"), "hops", F.desc("direct"), "rule", "source", "sink").limit(limit).collect()
+    rows = with_names(g, findings).orderBy(order, F.desc("live"), "hops", F.desc("direct"), "rule", "source", "sink")
+    rows = (rows.limit(limit) if limit is not None else rows).collect()
     out = []
     for r in rows:
         marks = ", ".join(x for x, on in (("live", r.live), ("direct", r.direct)) if on)

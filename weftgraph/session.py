@@ -1,4 +1,4 @@
-"""Sessions, reliable lineage cuts and size-checked broadcasts."""
+"""Sessions, lineage cuts by written tables and size-checked broadcasts."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a table may be broadcast; beyond it the join shuffles.
@@ -43,9 +43,19 @@ def _folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with an eager reliable checkpoint in the shared folder."""
-    _folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of ``df``: it is computed once and written to the shared folder."""
+    return counted(df)[0]
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut`` and the number of rows, which is counted on the way.
+
+    A written table is computed once, where a checkpoint computes its rows for the count and again for the files; and joins see its size.
+    """
+    spark = df.sparkSession
+    path, rows = work_folder(spark, "cut"), Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), rows.get.get("n") or 0
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -58,9 +68,9 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it is proven to have at most ``rows`` rows, else unchanged."""
-    return F.broadcast(df) if at_most(df, rows) else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, known: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it is proven to have at most ``rows`` rows, else unchanged; ``known``: the number, if it is known."""
+    return F.broadcast(df) if (at_most(df, rows) if known is None else known <= rows) else df
 
 
 def partitions(df: DataFrame) -> int:

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import symbol_key
 from ..operators.reconcile import first_number, natural_path
-from ..session import cut
+from ..session import counted, cut
 from ..vocab import OWNS, REL_ID, fold_name
 
 _ENTRY = "id string, label string, file_type string, source_file string, source_location string, source string, target string, relation string, confidence string, context string"
-MOST_OWNERS = 16
 
 
 @dataclass
@@ -31,8 +30,8 @@ def import_node_link(spark: SparkSession, path: str, repo: str = "") -> Imported
 
     Identity is minted anew from repo, path, kind, the chain of owners and the folded name; of symbols that are
     equal in all of it the n-th, by id, gets n. A label that is the base name of its file is a file; ``()`` marks a
-    callable, a method if it is dotted; an upper-case initial a class. Ownership is followed 16 steps at most, so
-    a cycle ends. Links with an unknown end are counted and left out.
+    callable, a method if it is dotted; an upper-case initial a class. Ownership ends where a cycle would come round
+    again. Links with an unknown end are counted and left out.
     """
     doc = spark.read.schema(f"nodes array<struct<{_fields()}>>, links array<struct<{_fields()}>>, edges array<struct<{_fields()}>>").json(path, multiLine=True)
     raw = doc.select(F.explode("nodes").alias("x")).select("x.*").where("id is not null").dropDuplicates(["id"])
@@ -54,14 +53,16 @@ def import_node_link(spark: SparkSession, path: str, repo: str = "") -> Imported
     owner = ok.where(F.col("rel").isin(*OWNS)).groupBy(F.col("target").alias("at")).agg(F.min("source").alias("owner"))
     named = node.where("kind <> 'file'").select(F.col("id").alias("owner"), F.lower("name").alias("owner_name"))
     owner = cut(owner.join(named, "owner"))
-    open_ = node.select("id", F.col("id").alias("at"), F.array().cast("array<string>").alias("scope"))
+    strings = F.array().cast("array<string>")
+    open_ = node.select("id", F.col("id").alias("at"), strings.alias("scope"), strings.alias("passed"))
     done = None
-    for step in range(MOST_OWNERS + 1):
-        nxt = cut(open_.join(owner, "at", "left"))
-        end = nxt if step == MOST_OWNERS else nxt.where("owner is null")
-        done = end.select("id", "scope") if done is None else done.unionByName(end.select("id", "scope"))
-        open_ = nxt.where("owner is not null").select("id", F.col("owner").alias("at"), F.concat(F.array("owner_name"), "scope").alias("scope"))
-        if open_.isEmpty():
+    while True:
+        again = F.coalesce(F.array_contains("passed", F.col("owner")) | (F.col("owner") == F.col("id")), F.lit(False))
+        nxt = cut(open_.join(owner, "at", "left").withColumn("again", again))
+        end = nxt.where("owner is null or again").select("id", "scope")
+        done = end if done is None else done.unionByName(end)
+        open_, n = counted(nxt.where("owner is not null and not again").select("id", F.col("owner").alias("at"), F.concat(F.array("owner_name"), "scope").alias("scope"), F.concat("passed", F.array("owner")).alias("passed")))
+        if not n:
             break
     node = node.join(done, "id").withColumn("norm_name", fold_name(F.col("name")))
     same = Window.partitionBy("path", "kind", "scope", "norm_name").orderBy("id")
