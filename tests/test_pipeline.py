@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph import cli
+from weftgraph.extract.braces import LANGUAGES, extract_braces
 from weftgraph.extract.lexical import extract_lexical
 from weftgraph.extract.python_source import extract_python
 from weftgraph.operators import security
@@ -70,6 +71,112 @@ def test_lexical(lang, text, names):
     assert sum(r["rec"] == "import" for r in rows) == 1 and any(r["rec"] == "call" for r in rows) == (lang != "x")
 
 
+GO = """package a
+import x "a/b"
+type U struct {
+	Base
+}
+type R interface {
+	Do(a int) error
+}
+func (t *T) Do(a int) error {
+	v, err := x.Get(a)
+	if err != nil {
+		return err
+	}
+	for _, q := range v {
+		use(q)
+	}
+	v = clean(v)
+	return t.save(v)
+}
+type T struct {
+}
+"""
+TS = """import { a as b } from "./m";
+export class K extends Base implements I {
+  size: number = 3;
+  get(p: string, q = 2): string {
+    let y = p + q;
+    if (y > 3) { return this.send(y) }
+    y = "x"
+    return b(y)
+  }
+}
+export const h = (z: string) => K(z);
+"""
+JAVA = """import a.b.C;
+public class K extends B {
+  class In { void q() {} }
+  public int size(final int a, String s) {
+    int b = C.of(a);
+    b = g(s);
+    while (b < 3) { b += h(b); }
+    return b;
+  }
+}
+"""
+RUST = """use a::b::{c, d as e};
+struct S {}
+impl S {
+  pub fn put(&self, x: i32) -> i32 {
+    let y = e(x);
+    match y { 1 => stop(), _ => go(y) }
+    y
+  }
+}
+"""
+CS = """using A.B;
+class M : N {
+  int Get(int a, string s) { var x = Find(a); x = Other(s); return x; }
+}
+"""
+C = """#include "a.h"
+static int add(int a, char *b) {
+  int c = other(a);
+  if (c) goto out;
+  c = last(b);
+out:
+  return c;
+}
+"""
+CPP = """class K { public: int go(int a) { return this->put(a); } };
+int K::far(int q) { auto z = q; z = 1; return use(z); }
+"""
+SHAPES = {
+    "go": (GO, {("U", "file"), ("R", "file"), ("T", "file"), ("Do", "R"), ("Do", "T")}, {("v", "q"), ("q", "use"), ("v", "clean"), ("v", "save"), ("err", "Do")}, {("Get", "use"), ("Get", "clean"), ("clean", "save"), ("t", "save"), ("a", "Get"), ("Get", "Do"), ("save", "Do")}),
+    "typescript": (TS, {("K", "file"), ("get", "K"), ("h", "file")}, {("y", "send"), ("y", "b")}, {("p", "send"), ("q", "send"), ("z", "K"), ("send", "get"), ("b", "get"), ("K", "h")}),
+    "java": (JAVA, {("K", "file"), ("In", "K"), ("q", "In"), ("size", "K")}, {("b", "h"), ("b", "size")}, {("a", "of"), ("s", "g"), ("g", "h"), ("h", "h"), ("g", "size"), ("h", "size")}),
+    "rust": (RUST, {("S", "file"), ("put", "S")}, {("y", "go"), ("y", "put")}, {("x", "e"), ("e", "go"), ("e", "put")}),
+    "csharp": (CS, {("M", "file"), ("Get", "M")}, {("x", "Get")}, {("a", "Find"), ("s", "Other"), ("Other", "Get")}),
+    "c": (C, {("add", "file")}, {("c", "add")}, {("a", "other"), ("b", "last"), ("last", "add"), ("other", "add")}),
+    "cpp": (CPP, {("K", "file"), ("go", "K"), ("far", "K")}, {("z", "use")}, {("a", "put"), ("put", "go"), ("use", "far")}),
+}
+
+
+@pytest.mark.parametrize("lang", SHAPES)
+def test_flow_in_braces(lang):
+    """Members belong to their type, wherever it stands; values flow by reaching definitions, locals too."""
+    text, members, local, flows = SHAPES[lang]
+    rows = extract_braces("d/f.x", text, lang).rows
+    sym = {r["sym"]: r for r in rows if r["rec"] == "symbol"}
+    call = {r["sym"]: r["name"] for r in rows if r["rec"] == "call"}
+    name = lambda e: call[int(e.split(":")[1])] if e.split(":")[0] in ("call", "arg") else sym[int(e.split(":")[1])]["name"]
+    kinds = ("class", "struct", "interface", "function", "method")
+    assert {(r["name"], "file" if sym[r["parent"]]["kind"] == "file" else sym[r["parent"]]["name"]) for r in sym.values() if r["kind"] in kinds} == members
+    got = {(name(r["source"]), name(r["target"])) for r in rows if r["rec"] == "flow"}
+    assert got - {("last", "add"), ("other", "add")} == flows - {("last", "add"), ("other", "add")} and (lang != "c" or ("last", "add") in got)
+    inner = {(name(r["source"]), name(r["target"])) for r in rows if r["rec"] == "lflow" and r["source"].startswith("local")}
+    assert local <= inner
+    assert {r["text"] for r in rows if r["rec"] == "touch"} <= {"defines", "uses"}
+
+
+def test_braces_survive_anything():
+    for text in ("", "{", "}}}", "func", "class", "class A", "func (", "if", "x = {", "import", "import (", "#", "a(b", "type T struct {", "switch x { case", "fn f( {", "'", '"', "/*", "for", "match x {", "(((", "const", "var (", "use a::{b"):
+        for lang in LANGUAGES:
+            extract_braces("f.x", text, lang)
+
+
 def test_ignore():
     i = Ignore([("", "*.log"), ("", "!keep.log"), ("", "out/"), ("", "/top.py"), ("sub/", "x.py"), ("", "# no"), ("", "")])
     hidden = [p for p in ("a.log", "keep.log", "out/a.py", "out", "top.py", "d/top.py", "sub/x.py", "x.py") if i.hides(p)]

@@ -13,10 +13,11 @@ SCHEMA = (
 
 @dataclass
 class Facts:
-    """Rows under construction. ``rec`` is symbol, call, import, super, ref, succ, touch or flow.
+    """Rows under construction. ``rec`` is symbol, call, import, super, ref, succ, touch, flow or lflow.
 
     Symbols of a file are numbered. Ends of a flow are ``param:<sym>``, ``return:<sym>``, ``call:<n>`` or
-    ``arg:<n>:<position>``, where n numbers the file's calls.
+    ``arg:<n>:<position>``, where n numbers the file's calls; of a flow from or to a local (lflow), with the lines of its definitions as
+    text, also ``local:<sym>``. A touch is a block that defines or uses a local or parameter.
     """
 
     path: str

@@ -11,8 +11,6 @@ import ast
 from .facts import Facts
 
 _FUN = (ast.FunctionDef, ast.AsyncFunctionDef)
-#: Characters of a condition kept in a label.
-LABEL = 60
 
 
 def extract_python(path: str, text: str) -> Facts:
@@ -98,6 +96,16 @@ class _File:
                 self.nested(child, scope, sym)
 
 
+def _label(e: ast.AST) -> str:
+    """The text of a condition, as it was written or as the parser understood it."""
+    return getattr(e, "label", None) or ast.unparse(e)
+
+
+def _case(c: ast.match_case) -> str:
+    known = getattr(c, "label", None)
+    return known or ("default" if isinstance(c.pattern, ast.MatchAs) and not c.pattern.pattern else f"case: {ast.unparse(c.pattern)}")
+
+
 def _walk(node: ast.AST):
     """All nodes below one without the bodies of statements, functions and classes."""
     todo = [node]
@@ -144,6 +152,7 @@ class _Body:
 
     def __init__(self, facts: Facts, sym: int, params: dict[str, int], scope: list[str]):
         self.f, self.sym, self.params, self.scope = facts, sym, params, scope
+        self.me: str | None = None  # another name of self
         self.blocks: list[_Block] = []
         self.loops: list[tuple[_Block, _Block]] = []
 
@@ -185,7 +194,7 @@ class _Body:
         end = getattr(s, "end_lineno", s.lineno)
         if isinstance(s, ast.If):
             at.steps.append(("use", s.test))
-            cond = ast.unparse(s.test)[:LABEL]
+            cond = _label(s.test)
             then = self.branch(at, f"then: {cond}", s.body)
             if s.orelse:
                 return self.join([(then, ""), (self.branch(at, f"else: {cond}", s.orelse), "")], end)
@@ -199,10 +208,10 @@ class _Body:
             at.to.append((head, ""))
             if isinstance(s, ast.While):
                 head.steps.append(("use", s.test))
-                cond = ast.unparse(s.test)[:LABEL]
+                cond = _label(s.test)
             else:
                 head.steps.append(("def", (s.target, s.iter)))
-                cond = ast.unparse(s.target)[:LABEL]
+                cond = _label(s.target)
             self.loops.append((head, after))
             last = self.branch(head, f"then: {cond}", s.body)
             self.loops.pop()
@@ -248,7 +257,7 @@ class _Body:
             return self.seq(s.body, at)
         if isinstance(s, ast.Match):
             at.steps.append(("use", s.subject))
-            ends = [(self.branch(at, f"case: {ast.unparse(c.pattern)[:LABEL]}" if not isinstance(c.pattern, ast.MatchAs) or c.pattern.pattern else "default", c.body), "") for c in s.cases]
+            ends = [(self.branch(at, _case(c), c.body), "") for c in s.cases]
             after = self.join(ends, end) or self.new(end)
             at.to.append((after, ""))
             return after
@@ -281,12 +290,15 @@ class _Body:
         self.calls: dict[int, int] = {}
         self.locals: dict[str, int] = {}
         self.flows: set[tuple[str, str, int]] = set()
+        self.inner: set[tuple[str, str, int, str]] = set()
+        self.touched: set[tuple[_Block, str, str]] = set()
         self.refs: set[tuple[str, str, int]] = set()
         start = {p: frozenset({f"param:{i}"}) for p, i in self.params.items()}
+        self.here = first
         before: dict[_Block, dict] = {first: start}
         todo = [first]
         while todo:
-            b = todo.pop(0)
+            b = self.here = todo.pop(0)
             env = self.through(b, dict(before[b]))
             for t, _ in b.to:
                 if t is self.exit:
@@ -302,8 +314,15 @@ class _Body:
             for t, label in b.to:
                 if t in ids:
                     self.f.add("succ", parent=ids[b], sym=ids[t], text=label, line=b.line)
+        names = dict(self.params)
         for name, line in sorted(self.locals.items()):
-            self.f.symbol("local", name, self.scope, line, self.sym)
+            names[name] = self.f.symbol("local", name, self.scope, line, self.sym)
+        for b, how, name in sorted(self.touched, key=lambda x: (x[0].index, *x[1:])):
+            if name in names and b in ids:
+                self.f.add("touch", parent=ids[b], sym=names[name], text=how, line=b.line)
+        end = lambda e: f"local:{names[e[6:]]}" if e.startswith("local:") else e
+        for source, target, line, lines in sorted(self.inner):
+            self.f.add("lflow", parent=self.sym, source=end(source), target=end(target), line=line, text=lines)
         for source, target, line in sorted(self.flows):
             self.f.add("flow", parent=self.sym, source=source, target=target, line=line)
         for how, name, line in sorted(self.refs):
@@ -315,22 +334,36 @@ class _Body:
                 self.value(what, env)
             elif how == "return":
                 for v in self.value(what, env):
-                    self.flow(v, f"return:{self.sym}", what.lineno)
+                    self.flow(v, f"return:{self.sym}", what.lineno, env)
             else:
                 target, expr = what
                 v = self.value(expr, env)
                 for n in _names(target):
-                    self.locals.setdefault(n, target.lineno) if n not in self.params else None
-                    env[n] = v | env.get(n, frozenset()) if how == "add" else v
+                    self.touched.add((b, "defines", n))
+                    if n not in self.params:
+                        self.locals.setdefault(n, target.lineno)
+                        for source in v:
+                            if source != f"local:{n}":
+                                self.inner.add((source, f"local:{n}", target.lineno, self.lines(source, env)))
+                    plain = frozenset(x for x in v if not x.startswith("local:"))
+                    env[n] = plain | env.get(n, frozenset()) if how == "add" else plain
+                    if n not in self.params:
+                        env["@" + n] = env.get("@" + n, frozenset()) | {target.lineno} if how == "add" else frozenset({target.lineno})
                 if isinstance(target, (ast.Attribute, ast.Subscript)):
                     base = _dotted(target).partition(".")[0]
                     self.refs.add(("write", _dotted(target), target.lineno))
                     if base in env:
-                        env[base] = env[base] | v  # a field is written, the rest stays
+                        env[base] = env[base] | {x for x in v if not x.startswith("local:")}  # a field is written, the rest stays
         return env
 
-    def flow(self, source: str, target: str, line: int) -> None:
-        if source != target:
+    def lines(self, source: str, env: dict) -> str:
+        """Where the value of a local was defined that flows on."""
+        return ",".join(map(str, sorted(env.get("@" + source[6:], ())))) if source.startswith("local:") else ""
+
+    def flow(self, source: str, target: str, line: int, env: dict) -> None:
+        if source.startswith("local:"):
+            self.inner.add((source, target, line, self.lines(source, env)))
+        elif source != target:
             self.flows.add((source, target, line))
 
     def value(self, e: ast.expr | None, env: dict) -> frozenset:
@@ -339,33 +372,38 @@ class _Body:
         if isinstance(e, ast.Name):
             if e.id not in env and e.id not in self.params:
                 self.refs.add(("read", e.id, e.lineno))
-            return env.get(e.id, frozenset())
+            else:
+                self.touched.add((self.here, "uses", e.id))
+            return env.get(e.id, frozenset()) | ({f"local:{e.id}"} if "@" + e.id in env else frozenset())
         if isinstance(e, ast.Call):
             name, receiver = _callee(e)
             inner = self.value(e.func.value, env) if isinstance(e.func, ast.Attribute) else frozenset()
             if not name:
                 return frozenset().union(inner, *(self.value(a, env) for a in e.args))
             if id(e) not in self.calls:
-                self.calls[id(e)] = self.f.call(self.sym, name, receiver, e.lineno, len(e.args) + len(e.keywords))
+                self.calls[id(e)] = self.f.call(self.sym, name, "self" if receiver and receiver == self.me else receiver, e.lineno, len(e.args) + len(e.keywords))
             n = self.calls[id(e)]
             for k, a in enumerate(e.args):
                 for v in self.value(a, env):
-                    self.flow(v, f"arg:{n}:{k}", e.lineno)
+                    self.flow(v, f"arg:{n}:{k}", e.lineno, env)
             for kw in e.keywords:
                 for v in self.value(kw.value, env):
-                    self.flow(v, f"arg:{n}:{kw.arg or '*'}", e.lineno)
+                    self.flow(v, f"arg:{n}:{kw.arg or '*'}", e.lineno, env)
             for v in inner:
-                self.flow(v, f"arg:{n}:self", e.lineno)
+                self.flow(v, f"arg:{n}:self", e.lineno, env)
             return frozenset({f"call:{n}"})
         if isinstance(e, ast.Attribute):
             self.refs.add(("read", _dotted(e), e.lineno)) if _dotted(e) else None
             return self.value(e.value, env)
         if isinstance(e, ast.NamedExpr):
             v = self.value(e.value, env)
-            env[e.target.id] = v
+            self.touched.add((self.here, "defines", e.target.id))
+            if e.target.id not in self.params:
+                self.locals.setdefault(e.target.id, e.lineno)
+            env[e.target.id] = frozenset(x for x in v if not x.startswith("local:"))
             return v
         if isinstance(e, ast.Lambda):
-            return self.value(e.body, env | {a.arg: frozenset() for a in e.args.args})
+            return self.value(e.body, {k: v for k, v in env.items() if k[1:] not in {a.arg for a in e.args.args} or k[0] != "@"} | {a.arg: frozenset() for a in e.args.args})
         if isinstance(e, (ast.ListComp, ast.SetComp, ast.GeneratorExp, ast.DictComp)):
             inner = dict(env)
             for g in e.generators:

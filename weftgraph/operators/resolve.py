@@ -67,6 +67,12 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(exact.unionByName(only), "id", "left").drop("id")
 
 
+def _family(path: Column) -> Column:
+    """The language of a path; those that call each other as one count as one."""
+    lang = language_of(path)
+    return F.when(lang.isin("javascript", "typescript", "tsx"), "javascript").when(lang.isin("c", "cpp"), "c").otherwise(lang)
+
+
 def _one(candidates: DataFrame, by: list[str]) -> DataFrame:
     """Groups with exactly one distinct key."""
     return candidates.groupBy(*by).agg(F.count_distinct("key").alias("n"), F.min("key").alias("key")).where("n = 1").drop("n")
@@ -125,7 +131,7 @@ def build_graph(facts: DataFrame, repo: str = "", segment: int = 1) -> Graph:
     named = call.where("receiver = ''").withColumn("q", F.lower("name")).join(via, ["path", "q"]).drop("norm").join(top.withColumnRenamed("norm", "wanted"), ["to", "wanted"])
     bind(named.select("path", "call", "key"), "INFERRED")
     # any callable of an imported file; several make the call ambiguous, and it gets no edge at all
-    wide = call.where("receiver = ''").join(seen, "path").join(top, ["to", "norm"])
+    wide = call.where("receiver = ''").join(seen.where(_family(F.col("path")) == _family(F.col("to"))), "path").join(top, ["to", "norm"])
     wide = cut(wide.select("path", "call", "key"))
     bind(wide, "INFERRED")
     call = call.join(wide.select("path", "call").distinct(), ["path", "call"], "left_anti")
@@ -177,32 +183,49 @@ def build_graph(facts: DataFrame, repo: str = "", segment: int = 1) -> Graph:
     heirs = sup.join(near.withColumn("conf", F.lit("EXTRACTED")).unionByName(_one(far, ["path", "src", "norm"]).withColumn("conf", F.lit("INFERRED"))), ["path", "src", "norm"]).withColumnRenamed("key", "dst")
     abstract = sym.where("kind in ('interface', 'trait')").select(F.col("key").alias("dst"), F.lit(True).alias("abstract"))
     parts.append(edge(heirs.join(abstract, "dst", "left"), F.when(F.col("abstract"), "implements").otherwise("inherits"), F.col("conf"), F.col("text")))
+    sup_rows = heirs.select("src", "dst")
     # control flow
     succ = at(at(rec("succ").select("path", "parent", "sym", "text", "line"), "parent", "src"), "sym", "dst")
     parts.append(edge(succ, "succeeds", context=F.coalesce("text", F.lit(""))))
+    # blocks that write or read locals and parameters
+    touch = at(at(rec("touch").select("path", "parent", "sym", "text", "line"), "parent", "src"), "sym", "dst")
+    parts.append(edge(touch, F.col("text")))
+    # Go: a type with an interface's whole method set implements it
+    method = at(sym.where("kind = 'method' and parent is not null").select("path", "parent", "norm", "arity"), "parent", "owner")
+    go = types.where(language_of(F.col("path")) == "go").join(sym.select(F.col("key").alias("type_key"), F.col("kind").alias("type_kind"), F.col("line").alias("type_line")), "type_key").select(F.col("type_key").alias("owner"), (F.col("type_kind") == "interface").alias("is_interface"), F.col("path").alias("type_path"), "type_line")
+    method = method.join(go, "owner").select("owner", "is_interface", "norm", "arity")
+    embeds = sup_rows.join(go.select(F.col("owner").alias("src")), "src", "left_semi")
+    held = structural_implements(method, embeds).join(go.select(F.col("owner").alias("type"), F.col("type_path").alias("path"), F.col("type_line").alias("line")), "type")
+    parts.append(edge(held.withColumnsRenamed({"type": "src", "interface": "dst"}), "implements", "INFERRED"))
     # value flow: both ends, and the call sites a value passes
     site = F.concat(F.lit("c"), F.abs(F.xxhash64("path", "call")).cast("string"))
     callee = every.select("path", "call", F.col("key").alias("callee"), site.alias("site"), F.col("conf").alias("call_conf"))
     param = sym.where("kind = 'parameter'").select(F.col("path").alias("p_path"), F.col("parent").alias("p_parent"), "pos", F.col("name").alias("p_name"), F.col("key").alias("p_key"))
+    # whether the first parameter stands for the object the method belongs to
+    own_self = param.where((F.col("pos") == 0) & (F.col("p_name").isin("self", "cls") | (language_of(F.col("p_path")) == "go"))).select("p_path", "p_parent", F.lit(True).alias("has_self"))
     fun = sym.where("kind in ('function', 'method')").select(F.col("key").alias("callee"), F.col("path").alias("p_path"), F.col("sym").alias("p_parent"), (F.col("kind") == "method").alias("is_method"))
+    fun = fun.join(own_self, ["p_path", "p_parent"], "left").withColumn("is_method", F.col("is_method") & F.coalesce("has_self", F.lit(False))).drop("has_self")
     signature = cut(fun.join(param, ["p_path", "p_parent"]))
-    flow = rec("flow").withColumn("id", F.xxhash64("path", "parent", "source", "target", "line"))
+    flow = facts.where("rec in ('flow', 'lflow')").withColumns({"rel": F.when(F.col("rec") == "flow", "flows_to").otherwise("local_flow"), "defs": F.when(F.col("rec") == "lflow", F.col("text"))})
+    flow = flow.withColumn("id", F.xxhash64("rec", "path", "parent", "source", "target", "line"))
     end = lambda c, k: F.try_element_at(F.split(c, ":"), F.lit(k))
-    flow = flow.select("id", "path", "line", end("source", 1).alias("s"), end("source", 2).cast("int").alias("sn"), end("target", 1).alias("t"), end("target", 2).cast("int").alias("tn"), end("target", 3).alias("tp"))
+    flow = flow.select("id", "rel", "defs", "path", "line", end("source", 1).alias("s"), end("source", 2).cast("int").alias("sn"), end("target", 1).alias("t"), end("target", 2).cast("int").alias("tn"), end("target", 3).alias("tp"))
     param_end = key_of.select("path", F.col("sym").alias("sn"), F.col("key").alias("src"))
-    source = flow.where("s = 'param'").join(param_end, ["path", "sn"]).select("id", "src", none_str.alias("leave"), F.lit("EXTRACTED").alias("sc"))
+    source = flow.where("s in ('param', 'local')").join(param_end, ["path", "sn"]).select("id", "src", none_str.alias("leave"), F.lit("EXTRACTED").alias("sc"))
     source = source.unionByName(flow.where("s = 'call'").join(callee.withColumnRenamed("call", "sn"), ["path", "sn"]).select("id", F.col("callee").alias("src"), F.col("site").alias("leave"), F.col("call_conf").alias("sc")))
-    target = flow.where("t = 'return'").join(key_of.select("path", F.col("sym").alias("tn"), F.col("key").alias("dst")), ["path", "tn"]).select("id", "dst", none_str.alias("enter"), F.lit("EXTRACTED").alias("tc"))
+    target = flow.where("t in ('return', 'local')").join(key_of.select("path", F.col("sym").alias("tn"), F.col("key").alias("dst")), ["path", "tn"]).select("id", "dst", none_str.alias("enter"), F.lit("EXTRACTED").alias("tc"))
     passed = flow.where("t = 'arg'").join(callee.withColumnRenamed("call", "tn"), ["path", "tn"])
     number = F.col("tp").try_cast("int")
     fits = passed.join(signature, "callee").where(F.when(F.col("tp") == "self", F.col("is_method") & (F.col("pos") == 0)).when(number.isNotNull(), F.col("pos") == number + F.col("is_method").cast("int")).otherwise(F.col("p_name") == F.col("tp")))
     target = target.unionByName(fits.select("id", F.col("p_key").alias("dst"), F.col("site").alias("enter"), F.col("call_conf").alias("tc")))
     stub = passed.join(out.select(F.col("key").alias("callee")).distinct(), "callee", "left_semi")
     target = target.unionByName(stub.select("id", F.col("callee").alias("dst"), F.col("site").alias("enter"), F.col("call_conf").alias("tc")))
-    both = flow.select("id", "path", "line").distinct().join(source, "id").join(target, "id")
+    both = flow.groupBy("id", "rel", "path", "line").agg(F.max("defs").alias("defs")).join(source, "id").join(target, "id")
     certain = F.when((F.col("sc") == "EXTRACTED") & (F.col("tc") == "EXTRACTED"), "EXTRACTED").otherwise("INFERRED")
     tag = F.concat(F.coalesce("leave", F.lit("")), F.lit(">"), F.coalesce("enter", F.lit("")))
-    parts.append(edge(both, "flows_to", certain, F.when(F.col("leave").isNotNull() | F.col("enter").isNotNull(), tag), F.col("leave"), F.col("enter")))
+    inner = F.col("rel") == "local_flow"
+    context = F.when(inner, F.col("defs")).when(F.col("leave").isNotNull() | F.col("enter").isNotNull(), tag)
+    parts.append(edge(both, F.col("rel"), certain, context, F.when(~inner, F.col("leave")), F.when(~inner, F.col("enter"))))
     # references to variables, constants and fields of the file
     ref = at(rec("ref").select("path", "parent", F.lower(F.element_at(F.split("name", r"\."), -1)).alias("norm"), "line"), "parent", "src")
     data = _one(ref.join(sym.where("kind in ('variable', 'constant', 'field')").select("path", "norm", "key"), ["path", "norm"]), ["path", "src", "norm"]).withColumnRenamed("key", "dst")
@@ -218,10 +241,23 @@ def build_graph(facts: DataFrame, repo: str = "", segment: int = 1) -> Graph:
     return Graph(cut(own.unionByName(outside)), cut(edges.select(*cols)))
 
 
-def structural_implements(methods: DataFrame) -> DataFrame:
+def structural_implements(methods: DataFrame, embeds: DataFrame | None = None) -> DataFrame:
     """(type, interface) by relational division: types whose methods (owner, is_interface, norm, arity) hold all of an
-    interface's. Interfaces without methods are implemented by nothing."""
+    interface's. ``embeds`` (src, dst): types and interfaces have the methods of what they embed, once. Interfaces without methods
+    are implemented by nothing.
+
+    Candidates come from each interface's rarest method only, so a method that very many types have pairs them with
+    none but the interfaces that have nothing rarer.
+    """
+    if embeds is not None:
+        lent = methods.select(F.col("owner").alias("dst"), "norm", "arity").join(embeds.select("src", "dst").distinct(), "dst")
+        kind = methods.select("owner", "is_interface").distinct()
+        methods = methods.unionByName(lent.join(kind, F.col("src") == F.col("owner")).select("owner", "is_interface", "norm", "arity"))
     iface = methods.where("is_interface").select(F.col("owner").alias("interface"), "norm", "arity").distinct()
     need = iface.groupBy("interface").agg(F.count("*").alias("need"))
-    have = methods.where("not is_interface").select(F.col("owner").alias("type"), "norm", "arity").distinct()
-    return have.join(iface, ["norm", "arity"]).groupBy("type", "interface").agg(F.count("*").alias("n")).join(need, "interface").where("n = need").select("type", "interface")
+    have = cut(methods.where("not is_interface").select(F.col("owner").alias("type"), "norm", "arity").distinct())
+    common = have.groupBy("norm", "arity").agg(F.count("*").alias("n"))
+    rarest = iface.join(common, ["norm", "arity"], "left").groupBy("interface").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "norm", "arity")).alias("r")).where("r.n > 0").select("interface", "r.norm", "r.arity")
+    pairs = have.join(rarest, ["norm", "arity"]).select("type", "interface")
+    held = pairs.join(iface, "interface").join(have, ["type", "norm", "arity"], "left_semi")
+    return held.groupBy("type", "interface").agg(F.count("*").alias("n")).join(need, "interface").where("n = need").select("type", "interface")
