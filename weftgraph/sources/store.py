@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..extract.facts import SCHEMA as FACTS
 from ..operators.skew import current_segments
 from ..operators.view import Graph, canonical_edges, canonical_nodes
 from ..session import small
 from ..vocab import EDGES, FILES, NODES
 from .versions import Versions
 
-TABLES = {"nodes": NODES, "edges": EDGES, "files": FILES}
+TABLES = {"nodes": NODES, "edges": EDGES, "files": FILES, "facts": FACTS + ", segment_id long", "removed": "path string, segment_id long"}
 #: Small segments are merged from so many on, and a full rewrite is due from this share of the base on.
 MOST_DELTAS, REWRITE_SHARE = 4, 0.2
 
@@ -23,7 +24,7 @@ class ChecksumError(RuntimeError):
 
 
 class Store:
-    """Segments 1, 2, 3 ... each with nodes, edges and files, and tombstones of removed files.
+    """Segments 1, 2, 3 ... each with nodes, edges, files and facts of files, and tombstones of removed files.
 
     A file belongs to the highest live segment that has it, so a later segment replaces its rows; readers pin the
     version they opened. A commit is atomic; a failed one leaves only a folder that ``sweep`` removes.
@@ -48,28 +49,38 @@ class Store:
         r = df.agg(F.count("*").alias("rows"), h.alias("sum")).first()
         return {"rows": r.rows, "sum": str(r["sum"] or 0)}
 
-    def commit(self, nodes: DataFrame, edges: DataFrame, files: DataFrame, removed: list[str] | None = None, partitions: int = 8) -> int:
-        """Write a segment and make it current; its number. ``removed`` paths end with it.
+    def commit(self, nodes: DataFrame, edges: DataFrame, files: DataFrame, removed: DataFrame | list[str] | None = None, facts: DataFrame | None = None, partitions: int | None = None) -> int:
+        """Write a segment and make it current; its number. ``removed`` paths (a table with path, or a list) end with it; ``facts``: what was
+        extracted from the files whose content changed.
 
         Rows are ranged and sorted by key, or source, relation and target, so that filters prune; repeated rows
-        are written once.
+        are written once. The number of files written follows the session's partitions and what adaptive execution makes of
+        the data, unless ``partitions`` names it.
         """
         version, state = self.versions.read()
         segment = state.get("last", 0) + 1
-        of = {"nodes": (nodes.dropDuplicates(["key"]), ["key"]), "edges": (edges.dropDuplicates(["edge_id"]), ["src", "rel_id", "dst"]), "files": (files.dropDuplicates(["path"]), ["path"])}
+        if removed is None or isinstance(removed, list):
+            removed = self.spark.createDataFrame([(p,) for p in removed or []], "path string")
+        if facts is None:
+            facts = self.spark.createDataFrame([], FACTS)
+        of = {
+            "nodes": (nodes.dropDuplicates(["key"]), ["key"]), "edges": (edges.dropDuplicates(["edge_id"]), ["src", "rel_id", "dst"]), "files": (files.dropDuplicates(["path"]), ["path"]),
+            "facts": (facts, ["path"]), "removed": (removed.select("path").distinct(), ["path"]),
+        }
         sums = {}
         for name, (df, order) in of.items():
             df = df.withColumn("segment_id", F.lit(segment).cast("long"))
             df = df.select(*(F.col(f).cast(t) if f in df.columns else F.lit(None).cast(t).alias(f) for f, t in (x.strip().split(" ", 1) for x in TABLES[name].split(","))))
-            df.repartitionByRange(partitions, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(self._where(segment, name))
-            sums[name] = self._checksum(self.spark.read.parquet(self._where(segment, name)))
-        segments = state.get("segments", {}) | {str(segment): {"sums": sums, "removed": sorted(removed or [])}}
+            ranged = df.repartitionByRange(*order) if partitions is None else df.repartitionByRange(partitions, *order)
+            ranged.sortWithinPartitions(*order).write.mode("overwrite").parquet(self._where(segment, name))
+            sums[name] = self._checksum(self.spark.read.schema(TABLES[name]).parquet(self._where(segment, name)))
+        segments = state.get("segments", {}) | {str(segment): {"sums": sums}}
         self.versions.commit(version + 1, {"last": segment, "segments": segments})
         return segment
 
-    def remove_files(self, paths: list[str]) -> int:
+    def remove_files(self, paths: DataFrame | list[str]) -> int:
         """Remove files without new ones."""
-        none = {n: self.spark.createDataFrame([], TABLES[n]) for n in TABLES}
+        none = {n: self.spark.createDataFrame([], TABLES[n]) for n in ("nodes", "edges", "files")}
         return self.commit(none["nodes"], none["edges"], none["files"], paths)
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
@@ -81,13 +92,16 @@ class Store:
 
     def live_files(self, version: int | None = None) -> DataFrame:
         """The current row of every file that isn't removed."""
-        files = self.table("files", version)
-        gone = [(p, int(s)) for s, x in self._segments(version).items() for p in x["removed"]]
-        now = files.join(small(current_segments(files)), ["path", "segment_id"], "left_semi").select(files.columns)
-        if gone:
-            last = self.spark.createDataFrame(gone, "path string, gone long").groupBy("path").agg(F.max("gone").alias("gone"))
-            now = now.join(last, "path", "left").where("gone is null or gone < segment_id").select(files.columns)
-        return now
+        return self._live(self.table("files", version), version)
+
+    def live_facts(self, version: int | None = None) -> DataFrame:
+        """The facts last extracted from every file that isn't removed."""
+        return self._live(self.table("facts", version), version)
+
+    def _live(self, rows: DataFrame, version: int | None) -> DataFrame:
+        now = rows.join(small(current_segments(rows)), ["path", "segment_id"], "left_semi")
+        last = self.table("removed", version).groupBy("path").agg(F.max("segment_id").alias("gone"))
+        return now.join(last, "path", "left").where("gone is null or gone < segment_id").select(rows.columns)
 
     def graph(self, version: int | None = None, stubs: DataFrame | None = None) -> Graph:
         """The current graph, or that of an earlier version; rows without a file are always live."""
@@ -101,7 +115,7 @@ class Store:
         for s, x in self._segments().items():
             for name, want in x["sums"].items():
                 try:
-                    got = self._checksum(self.spark.read.parquet(self._where(s, name)))
+                    got = self._checksum(self.spark.read.schema(TABLES[name]).parquet(self._where(s, name)))
                 except Exception as e:
                     raise ChecksumError(f"segment {s}, {name}: can't be read: {e}") from None
                 if got != want:
@@ -109,7 +123,7 @@ class Store:
 
     def due(self) -> str | None:
         """``full`` if the deltas hold over REWRITE_SHARE of the base's rows, ``merge`` for many deltas, else None."""
-        rows = [sum(t["rows"] for t in x["sums"].values()) for _, x in sorted(self._segments().items(), key=lambda kv: int(kv[0]))]
+        rows = [sum(t["rows"] for n, t in x["sums"].items() if n in ("nodes", "edges", "files")) for _, x in sorted(self._segments().items(), key=lambda kv: int(kv[0]))]
         if len(rows) < 2:
             return None
         return "full" if sum(rows[1:]) > REWRITE_SHARE * rows[0] else "merge" if len(rows) - 1 >= MOST_DELTAS else None
@@ -121,7 +135,7 @@ class Store:
         if len(state.get("segments", {})) < 2:
             return None
         g, files = self.graph(), self.live_files()
-        segment = self.commit(g.visible(), g.edges, files)
+        segment = self.commit(g.visible(), g.edges, files, facts=self.live_facts())
         version, state = self.versions.read()
         self.versions.commit(version + 1, state | {"segments": {str(segment): state["segments"][str(segment)]}})
         return segment

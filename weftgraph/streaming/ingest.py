@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..extract.table import extract
 from ..operators.resolve import build_graph
 from ..operators.view import Graph
+from ..session import cut, small
 from ..sources.store import Store
 from ..sources.tree import scan
 
@@ -19,7 +20,8 @@ def update(store: Store, tree: DataFrame, repo: str = "", removed: list[str] | N
     """Bring a store up to a state of its files (path, lang, content, content_hash, mtime_nanos, size); the new
     segment, or None if nothing changed.
 
-    A file counts as changed if its hash differs, whatever its time says, so a replay changes nothing. Names are
+    A file counts as changed if its hash differs, whatever its time says, so a replay changes nothing. Only changed files are
+    read and extracted; the facts of the others come from the store. Names are
     resolved against all current files, and files whose rows come out differently are written again with the changed
     ones; a delta therefore equals a rebuild. ``removed``: paths that are gone; without it, paths that ``tree`` lacks.
     """
@@ -29,10 +31,13 @@ def update(store: Store, tree: DataFrame, repo: str = "", removed: list[str] | N
     found = both.where("what is not null").groupBy("what").agg(F.count("*").alias("n")).collect()  # two rows at most
     if not found:
         return None
-    gone = [r.path for r in both.where("what = 'gone'").select("path").toLocalIterator()] if removed is None else removed
-    g = build_graph(extract(tree), repo)
+    gone = both.where("what = 'gone'").select("path") if removed is None else store.spark.createDataFrame([(p,) for p in removed], "path string")
+    changed = cut(both.where("what = 'changed'").select("path"))
+    facts = cut(extract(tree.join(small(changed), "path", "left_semi")))
+    stale = changed.unionByName(gone)
+    rest = store.live_facts().drop("segment_id").join(stale, "path", "left_anti")
+    g = build_graph(rest.select(facts.columns).unionByName(facts), repo)
     old = store.graph()
-    changed = both.where("what = 'changed'").select("path")
     edge_cols = ["src", "dst", "rel", "line", F.coalesce("context", F.lit("")).alias("context"), "owner_path"]
     new_e, old_e = g.edges.select(*edge_cols), old.edges.select(*edge_cols)
     moved = new_e.exceptAll(old_e).unionByName(old_e.exceptAll(new_e)).select(F.col("owner_path").alias("path")).distinct()
@@ -40,7 +45,7 @@ def update(store: Store, tree: DataFrame, repo: str = "", removed: list[str] | N
     nodes = g.nodes.where("path = ''").unionByName(g.nodes.where("path <> ''").join(write, "path", "left_semi").select(g.nodes.columns))
     edges = g.edges.join(write.withColumnRenamed("path", "owner_path"), "owner_path", "left_semi").select(g.edges.columns)
     files = tree.join(write, "path", "left_semi").select("path", F.lit(repo).alias("repo"), "lang", "content_hash", "mtime_nanos", "size", F.lit(False).alias("had_parse_error"))
-    segment = store.commit(nodes, edges, files, gone)
+    segment = store.commit(nodes, edges, files, gone, facts)
     if store.due():
         segment = store.compact() or segment
     return segment
