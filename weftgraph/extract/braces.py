@@ -219,6 +219,11 @@ class _Reader:
             if j is not None:
                 return self.function(j, stop, out, inside)
         end = self.statement_end(k, stop)
+        for j in range(k + 1, end):  # a statement without its end sign before a definition
+            if self.t[j].first and (self.at(j) in _MODIFIERS or self.at(j) in _TYPES or self.at(j) in ("fn", "func", "function", "impl")):
+                self.virtual.add(j)
+                end = j
+                break
         if inside:
             self.field(k, end, out)
         elif end > k:

@@ -12,19 +12,19 @@ DEFINITIONS = {
     "javascript": [("class", rf"\bclass\s+({_WORD})"), ("function", rf"\bfunction\s*\*?\s*({_WORD})\s*\("), ("function", rf"\b(?:const|let|var)\s+({_WORD})\s*=\s*(?:async\s*)?(?:\([^()]*\)|{_WORD})\s*=>")],
     "typescript": [("interface", rf"\binterface\s+({_WORD})"), ("type", rf"\btype\s+({_WORD})\s*="), ("enum", rf"\benum\s+({_WORD})")],
     "java": [("class", rf"\bclass\s+({_WORD})"), ("interface", rf"\binterface\s+({_WORD})"), ("enum", rf"\benum\s+({_WORD})"), ("method", rf"\b(?:public|private|protected|static|final|\s)+[\w<>\[\], ]+\s+({_WORD})\s*\([^;{{}}]*\)\s*(?:throws [\w, ]+)?\{{")],
-    "c": [("struct", rf"\bstruct\s+({_WORD})\s*\{{"), ("enum", rf"\benum\s+({_WORD})\s*\{{"), ("function", rf"^[A-Za-z_][\w\s*]*?\b({_WORD})\s*\([^;{{}}]*\)\s*\{{"), ("macro", rf"^\s*#\s*define\s+({_WORD})")],
+    "c": [("struct", rf"\bstruct\s+({_WORD})\s*\{{"), ("enum", rf"\benum\s+({_WORD})\s*\{{"), ("function", rf"^[A-Za-z_][\w\s*]*?\b({_WORD})\s*\([^;{{}}]*\)\s*\{{"), ("macro", rf"^[ \t]*#\s*define\s+({_WORD})")],
     "cpp": [("class", rf"\bclass\s+({_WORD})"), ("namespace", rf"\bnamespace\s+({_WORD})")],
     "go": [("function", rf"^func\s+({_WORD})\s*\("), ("method", rf"^func\s+\([^)]*\)\s*({_WORD})\s*\("), ("struct", rf"^type\s+({_WORD})\s+struct"), ("interface", rf"^type\s+({_WORD})\s+interface")],
     "rust": [("function", rf"\bfn\s+({_WORD})"), ("struct", rf"\bstruct\s+({_WORD})"), ("enum", rf"\benum\s+({_WORD})"), ("trait", rf"\btrait\s+({_WORD})"), ("module", rf"\bmod\s+({_WORD})\s*\{{")],
     "csharp": [("class", rf"\bclass\s+({_WORD})"), ("interface", rf"\binterface\s+({_WORD})"), ("struct", rf"\bstruct\s+({_WORD})"), ("method", rf"\b(?:public|private|protected|internal|static|async|\s)+[\w<>\[\], ]+\s+({_WORD})\s*\([^;{{}}]*\)\s*\{{")],
-    "ruby": [("class", rf"^\s*class\s+({_WORD})"), ("module", rf"^\s*module\s+({_WORD})"), ("method", rf"^\s*def\s+(?:self\.)?({_WORD}[?!=]?)")],
+    "ruby": [("class", rf"^[ \t]*class\s+({_WORD})"), ("module", rf"^[ \t]*module\s+({_WORD})"), ("method", rf"^[ \t]*def\s+(?:self\.)?({_WORD}[?!=]?)")],
 }
 DEFINITIONS["typescript"] = DEFINITIONS["javascript"] + DEFINITIONS["typescript"]
 DEFINITIONS["tsx"] = DEFINITIONS["typescript"]
 DEFINITIONS["cpp"] = DEFINITIONS["c"] + DEFINITIONS["cpp"]
 IMPORTS = {
-    "javascript": r"\bimport\b[^'\";]*['\"]([^'\"]+)['\"]|\brequire\(\s*['\"]([^'\"]+)['\"]", "java": r"^\s*import\s+(?:static\s+)?([\w.]+)", "c": r"^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]",
-    "go": r"^\s*import\s+(?:\w+\s+)?\"([^\"]+)\"|^\s+(?:\w+\s+)?\"([^\"]+)\"\s*$", "rust": r"^\s*(?:pub\s+)?use\s+([\w:]+)", "csharp": r"^\s*using\s+([\w.]+)\s*;", "ruby": r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]",
+    "javascript": r"\bimport\b[^'\";]*['\"]([^'\"]+)['\"]|\brequire\(\s*['\"]([^'\"]+)['\"]", "java": r"^[ \t]*import\s+(?:static\s+)?([\w.]+)", "c": r"^[ \t]*#\s*include\s*[<\"]([^>\"]+)[>\"]",
+    "go": r"^[ \t]*import\s+(?:\w+\s+)?\"([^\"]+)\"|^[ \t]+(?:\w+\s+)?\"([^\"]+)\"\s*$", "rust": r"^[ \t]*(?:pub\s+)?use\s+([\w:]+)", "csharp": r"^[ \t]*using\s+([\w.]+)\s*;", "ruby": r"^[ \t]*require(?:_relative)?\s+['\"]([^'\"]+)['\"]",
 }
 IMPORTS |= {"typescript": IMPORTS["javascript"], "tsx": IMPORTS["javascript"], "cpp": IMPORTS["c"]}
 _NOT_CALLED = frozenset("if for while switch catch return sizeof function func fn def class new match elsif unless until foreach using lock when".split())

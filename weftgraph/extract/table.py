@@ -17,7 +17,8 @@ _TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<s
 
 
 def facts_of(path: str, text: str, lang: str) -> Facts:
-    """The facts of one file; a file nested too deeply to be read is taken by patterns."""
+    """The facts of one file, whatever ends its lines; a file nested too deeply to be read is taken by patterns."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
     if lang == "python":
         return extract_python(path, text)
     try:

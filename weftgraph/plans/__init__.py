@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("changes", "graph", "compare")
+_MODULES = ("changes", "graph", "compare", "source")
 
 
 def _all(name: str) -> dict:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_quality, path_quality, subwords
 from ..operators import deep, index, lookup, security, traverse
+from ..session import cut
 from ..operators.view import Graph, live_rows, open_graph, open_or_build
 from ..sources.tables import table
-from ..vocab import BLAST_RADIUS, CALL_FLOW, DATA_FLOW, DEPENDS, ENTRYPOINTS, TAINT, WALK
+from ..vocab import BLAST_RADIUS, CALL_FLOW, DATA_FLOW, DEPENDS, ENTRYPOINTS, SPREAD, TAINT, WALK
 
 #: What the queries ask for.
 NAME, PREFIX, TEXT, OWNED, SEED_NAME, TERMS = "setup", "load", "ledger", "invoice_policy.java.verifyReport", "main", "cursor packet kind:method"
 SPEC = security.Spec("load-to-settle", (security.pattern("load*"),), (security.pattern("settle*"),), (security.pattern("audit*"),), mode="call-graph", max_hops=4)
+NARROW = security.Spec("narrow", (security.pattern("load*"),), (security.pattern("*cursor*"),), (), (security.pattern("loadcursor*"), security.Matcher("path", "app/")), (), ("python", "go"), mode="call-graph")
 FLOW = security.Spec("cell-to-load", (security.pattern("cell"),), (security.pattern("load*"),), (security.pattern("clamp*"),), max_hops=5, context_depth=3)
 
 
@@ -125,8 +129,25 @@ def i4_condensation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def i5_reach_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between components, and how many of them break the rule that a node's intervals hold those of what it leads to."""
+    g = open_or_build(spark, d)
+    parts = index.components(g)
+    labels = cut(index.reach_labels(g, parts))
+    between = g.adjacency(TAINT).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    between = between.join(parts.toDF("a", "ca"), "a").join(parts.toDF("b", "cb"), "b").where("ca <> cb")
+    maybe = index.maybe_reaches(labels, between.select("a", "b"))
+    return maybe.agg(F.count("*").alias("edges"), F.sum((~F.col("maybe")).cast("long")).alias("broken"))
+
+
+def i6_maybe_reaches(spark: SparkSession, d: str) -> DataFrame:
+    """Of all nodes, how many the seed of least key reaches, and how many of those the labels reject."""
     g = open_or_build(spark, d)
-    return index.reach_labels(g, index.components(g)).select("key", F.size("lo").alias("k"))
+    labels = index.reach_labels(g, index.components(g))
+    a = _seeds(g).agg(F.min("key")).first()[0]
+    pairs = g.nodes.select(F.lit(a).alias("a"), F.col("key").alias("b"))
+    maybe = index.maybe_reaches(labels, pairs)
+    reached = traverse.reachable_set(g, g.nodes.where(F.col("key") == a).select("key"), TAINT).withColumnRenamed("key", "b")
+    return maybe.join(reached, "b").agg(F.count("*").alias("reached"), F.sum((~F.col("maybe")).cast("long")).alias("rejected"))
 
 
 def i7_name_postings(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +202,7 @@ def t5_taint_path(spark: SparkSession, d: str) -> DataFrame:
     g = open_or_build(spark, d)
     a, b = _ends(g)
     path = traverse.taint_path(g, [a], [b], frozenset({"calls"}), 12)
-    return spark.createDataFrame([(len(path) - 1,)] if path else [], "hops int")
+    return spark.createDataFrame([(len(path) - 1, "/".join(path))] if path else [], "hops int, path string")
 
 
 def t6_reachable_set(spark: SparkSession, d: str) -> DataFrame:
@@ -192,13 +213,13 @@ def t6_reachable_set(spark: SparkSession, d: str) -> DataFrame:
 def t7_paths_avoiding(spark: SparkSession, d: str) -> DataFrame:
     g = open_or_build(spark, d)
     e = security.ends(g, SPEC)
-    return traverse.paths_avoiding(g, e.sources, e.sinks, e.sanitizers, CALL_FLOW, SPEC.max_hops).select("source", "sink", (F.size("path") - 1).alias("hops"))
+    return traverse.paths_avoiding(g, e.sources, e.sinks, e.sanitizers, CALL_FLOW, SPEC.max_hops).select("source", "sink", (F.size("path") - 1).alias("hops"), F.concat_ws("/", "path").alias("path"))
 
 
 def t8_value_paths(spark: SparkSession, d: str) -> DataFrame:
     g = open_or_build(spark, d)
     e = security.ends(g, FLOW)
-    return traverse.value_paths(g, e.sinks, e.sources, e.sanitizers, FLOW.max_hops, FLOW.context_depth).select("sink", "source", (F.size("path") - 1).alias("hops"))
+    return traverse.value_paths(g, e.sinks, e.sources, e.sanitizers, FLOW.max_hops, FLOW.context_depth).select("sink", "source", (F.size("path") - 1).alias("hops"), F.concat_ws("/", "path").alias("path"))
 
 
 def t9_impact(spark: SparkSession, d: str) -> DataFrame:
@@ -253,12 +274,54 @@ def k10_live_set(spark: SparkSession, d: str) -> DataFrame:
     return security.live_set(open_or_build(spark, d))
 
 
+def _finding(found: DataFrame) -> DataFrame:
+    return found.select("rule", "source", "sink", "hops", "live", "direct", F.concat_ws("/", "path").alias("path"))
+
+
+def k6_ends(spark: SparkSession, d: str) -> DataFrame:
+    """The sources, sinks and sanitizers of a data-flow question and of a call-graph question in Python and Go files outside of folders named app."""
+    g = open_or_build(spark, d)
+    one = lambda rule, e: [x.select(F.lit(rule).alias("rule"), F.lit(role).alias("role"), "key") for role, x in (("source", e.sources), ("sink", e.sinks), ("sanitizer", e.sanitizers))]
+    parts = one("flow", security.ends(g, FLOW)) + one("narrow", security.ends(g, NARROW))[:2]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def k15_counters(spark: SparkSession, d: str) -> DataFrame:
+    return security.counters(open_or_build(spark, d), SPEC)
+
+
+def k14_ordered_findings(spark: SparkSession, d: str) -> DataFrame:
+    """The first findings, live, short and direct ones first, with their rank."""
+    g = open_or_build(spark, d)
+    top = security.audit(g, SPEC, limit=20)
+    rank = F.row_number().over(Window.orderBy(F.desc("live"), "hops", F.desc("direct"), "source", "sink"))
+    return top.select(rank.alias("rank"), "source", "sink", "hops", "direct", "live")
+
+
+def d8_credits(spark: SparkSession, d: str) -> DataFrame:
+    """What the terms match by themselves: names, paths, bodies and conditions, the best of each term and symbol."""
+    return deep.credits(open_or_build(spark, d), deep.parse("cursor packet")).select("term", "key", F.round("score", 4).alias("score"))
+
+
+def d9_spread(spark: SparkSession, d: str) -> DataFrame:
+    """Scores after one hop of spreading."""
+    g = open_or_build(spark, d)
+    q = deep.parse("cursor packet hops:1")
+    return deep._spread(g, deep.credits(g, q), q).select("term", "key", F.round("score", 4).alias("score"))
+
+
+def d10_reach_filters(spark: SparkSession, d: str) -> DataFrame:
+    g = open_or_build(spark, d)
+    parts = [deep.deep_search(g, f"kind:function {k}:{NAME}", limit=None).select(F.lit(k).alias("filter"), "key") for k in ("reaches", "flows-to", "flows-from")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def k11_call_graph_audit(spark: SparkSession, d: str) -> DataFrame:
-    return security.audit(open_or_build(spark, d), SPEC).select("rule", "source", "sink", "hops", "live")
+    return _finding(security.audit(open_or_build(spark, d), SPEC))
 
 
 def k12_dataflow_audit(spark: SparkSession, d: str) -> DataFrame:
-    return security.audit(open_or_build(spark, d), FLOW).select("rule", "source", "sink", "hops", "live")
+    return _finding(security.audit(open_or_build(spark, d), FLOW))
 
 
 def k16_package_reach(spark: SparkSession, d: str) -> DataFrame:
@@ -276,9 +339,9 @@ QUERIES = {
     for f in (
         v1_live_nodes, v2_canonical_nodes, v3_resolved_edges, v4_visible_nodes, v7_live_files, l1_exact_name_any, l2_name_with_stubs, l3_name, l4_prefix, l5_qualified_name,
         l6_search, l6_search_by_trigrams, l7_info, l8_parameters, l9_cfg, l11_counts, l12_explain, l13_ranked_search, i1_degrees, i2_hub_cutoff, i3_components, i4_condensation,
-        i5_reach_labels, i7_name_postings, i8_trigrams, i9_degrees_after_delta, i11_hubs, i12_edge_histogram, i13_stats, t1_neighbors, t2_walk, t3_blast_radius, t4_shortest_path,
+        i5_reach_labels, i6_maybe_reaches, i7_name_postings, i8_trigrams, i9_degrees_after_delta, i11_hubs, i12_edge_histogram, i13_stats, t1_neighbors, t2_walk, t3_blast_radius, t4_shortest_path,
         t5_taint_path, t6_reachable_set, t7_paths_avoiding, t8_value_paths, t9_impact, t10_owner_chain, d2_subwords, d3_name_quality, d4_path_quality, d11_edge_filters,
-        d12_deep_search, k1_matchers, k9_entrypoints, k10_live_set, k11_call_graph_audit, k12_dataflow_audit, k16_package_reach, k17_packages,
+        d8_credits, d9_spread, d10_reach_filters, d12_deep_search, k1_matchers, k6_ends, k14_ordered_findings, k15_counters, k9_entrypoints, k10_live_set, k11_call_graph_audit, k12_dataflow_audit, k16_package_reach, k17_packages,
     )
 }
 
@@ -352,7 +415,14 @@ _AVOID = (
     + f""", adj as {_adj(CALL_FLOW, "in")}, w(sink, key, hops) as (
   select key, key, 0 from sink union
   select w.sink, a.other, w.hops + 1 from w join adj a on a.node = w.key where w.hops < {SPEC.max_hops} and a.other not in (select key from clean)
-), pair as (select key as source, sink, min(hops) as hops from w where key <> sink and key in (select key from source) group by all)"""
+), dist as (select sink, key, min(hops) as hops from w group by all),
+pair as (select key as source, sink, hops from dist where key <> sink and key in (select key from source)),
+step as (select d.sink, d.key, d.hops, min(a.other) as nxt from dist d join (select other as key, node as other from adj) a on a.key = d.key join dist e on e.sink = d.sink and e.key = a.other and e.hops = d.hops - 1 group by all),
+pt(source, sink, here, path, hops, direct) as (
+  select source, sink, source, [source], hops, true from pair union all
+  select pt.source, pt.sink, s.nxt, list_append(path, s.nxt), pt.hops, direct and coalesce(b.conf = 'EXTRACTED', false) from pt join step s on s.sink = pt.sink and s.key = pt.here
+  join (select src, dst, arg_min(conf, (rel_id, edge_id)) as conf from l where rel in {_in(CALL_FLOW)} group by src, dst) b on b.src = pt.here and b.dst = s.nxt
+), best as (select source, sink, hops, array_to_string(path, '/') as path, direct from pt where here = sink)"""
 )
 
 _VALUES = f""", clean0 as (select key from n where starts_with(norm_name, 'clamp') and kind not in ('block', 'parameter') and ({_NAMED})),
@@ -362,12 +432,14 @@ sink as (select key from (select key from sink0 union select dst from l join n o
   where kind not in ('file', 'package', 'block', 'local') and key not in (select key from clean)),
 source as (select key from n where norm_name = 'cell' and kind not in ('file', 'package', 'block', 'local')),
 flow as (select dst as node, src as other, nullif(leave_site, '') as leave, nullif(enter_site, '') as enter from l where rel = 'flows_to' and src not in (select key from clean)),
-w(sink, key, stack, hops) as (
-  select key, key, []::varchar[], 0 from sink union
-  select sink, other, case when leave is null then p else list_append(case when len(p) >= {FLOW.context_depth} then p[len(p) - {FLOW.context_depth} + 2:] else p end, leave) end, hops + 1
+w(sink, key, stack, hops, path) as (
+  select key, key, []::varchar[], 0, [key] from sink union
+  select sink, other, case when leave is null then p else list_append(case when len(p) >= {FLOW.context_depth} then p[len(p) - {FLOW.context_depth} + 2:] else p end, leave) end, hops + 1, list_prepend(other, path)
   from (select w.*, other, leave, case when enter is not null and len(stack) > 0 then stack[:len(stack) - 1] else stack end as p
     from w join flow on node = key where hops < {FLOW.max_hops} and (len(stack) = 0 or stack[-1] <> '!' and (enter is null or enter = stack[-1])))
-)"""
+), least as (select sink, key as source, arg_min(path, (hops, path)) as path from w where key <> sink and key in (select key from source) group by all),
+hop as (select sink, source, path[i] as a, path[i + 1] as b from (select *, unnest(range(1, len(path))) as i from least)),
+sure as (select sink, source, bool_and(coalesce(c.conf = 'EXTRACTED', false)) as direct from hop left join (select src, dst, arg_min(conf, (rel_id, edge_id)) as conf from l where rel = 'flows_to' group by src, dst) c on c.src = a and c.dst = b group by all)"""
 
 _EXPLAIN = (
     ", h as ("
@@ -385,6 +457,32 @@ _EXPLAIN = (
 ) select key, label, rank, total, other, note from r where rank <= 5"""
 )
 
+_FUNS = "(select min(key) as a, max(key) as b from n where kind = 'function')"
+
+
+def _shortest(mask: frozenset[str], hops: int) -> str:
+    return f""", ends as {_FUNS}, ad as (select distinct node, other from {_adj(mask, 'in')}),
+w(key, d) as (select b, 0 from ends union select other, d + 1 from w join ad on node = key where d < {hops}),
+dist as (select key, min(d) as d from w group by key),
+pt(here, path, d, hops) as (
+  select a, [a], d, d from ends join dist on key = a union all
+  select nxt, list_append(path, nxt), pt.d - 1, hops from pt join (select o.node as key, min(o.other) as nxt, e.d as d from (select other as node, node as other from ad) o join dist e on e.key = o.other group by o.node, e.d) s on s.key = pt.here and s.d = pt.d - 1
+) select hops::int as hops, array_to_string(path, '/') as path from pt where d = 0"""
+
+
+def _credit(term: str, nr: int) -> str:
+    q = _quality("name", _subwords("name"), term)
+    p = f"""coalesce(({_quality("stem", _subwords("stem"), term)}) * 0.6, case when contains(lower(path), '{term}') then 0.3 end)"""
+    return f"""select {nr} as term, key, score from (
+  with c as (select key, kind, name, path, regexp_replace(list_extract(string_split(lower(path), '/'), -1), '\\.[^.]*$', '') as stem from n where kind <> 'block' and (contains(norm_name, '{term}') or contains(lower(path), '{term}'))),
+  q as (select *, {q} as nq, {p} as pq from c)
+  select key, nq as score from q where nq is not null and kind <> 'local' union all select key, pq from q where pq is not null and kind not in ('local', 'parameter')
+  union all select owner, nq * 0.75 from q join own using (key) where kind in ('local', 'parameter') and nq is not null
+  union all select o.owner, 0.7 from l join own o on o.key = l.src join n f on f.key = o.owner and f.kind in ('function', 'method') where l.rel = 'succeeds' and regexp_matches(lower(context), '(^|[^a-z0-9_]){term}([^a-z0-9_]|$)'))"""
+
+
+_CREDITS = f", credit as (select term, key, max(score) as score from ({_credit('cursor', 0)} union all {_credit('packet', 1)}) group by term, key)"
+
 _LIVE = f", flow_ as {_adj(CALL_FLOW, 'out')}, lv(key) as (select key from {_ENTRY} union select a.other from lv join flow_ a on a.node = lv.key)"
 
 _COMPONENTS = f""", adj as (select distinct node, other from {_adj(TAINT, 'out')}),
@@ -447,8 +545,8 @@ union all select 'files', count(*) from n where kind = 'file' union all select '
   from adj a join s p on p.key = a.node where p.depth = 0 or p.key not in (select key from hub) group by all) b on b.key = s.key and b.depth = s.depth where s.depth > 0""",
     "t3_blast_radius": G + _walk(BLAST_RADIUS, "in", 2) + " select key, depth from s where depth > 0",
     "t6_reachable_set": G + f", adj as {_adj(TAINT, 'out')}, w(key) as (select key from {_SEED} union select a.other from w join adj a on a.node = w.key) select key from w",
-    "t7_paths_avoiding": G + _AVOID + " select source, sink, hops from pair",
-    "t8_value_paths": G + _VALUES + " select sink, key as source, min(hops)::int as hops from w where key <> sink and key in (select key from source) group by all",
+    "t7_paths_avoiding": G + _AVOID + " select source, sink, hops, path from best",
+    "t8_value_paths": G + _VALUES + " select sink, source, (len(path) - 1)::int as hops, array_to_string(path, '/') as path from least",
     "t9_impact": G
     + f""", step as (select distinct node, other, 'depends' as via from {_adj(DEPENDS, "in")} union all select distinct node, other, 'value' from {_adj(DATA_FLOW, "out")}),
 wide as (select node from step group by node having count(distinct other) > 100), ext as (select key from n where coalesce(is_external, false)),
@@ -477,10 +575,31 @@ union all select 'member', key from n where kind not in ('parameter', 'local', '
 union all select 'members', key from n where kind not in ('parameter', 'local', 'block') and key in (select dst from getter)""",
     "k9_entrypoints": G + f", live0 as {_ENTRY} select key from live0",
     "k10_live_set": G + f", adj as {_adj(CALL_FLOW, 'out')}, w(key) as (select key from {_ENTRY} union select a.other from w join adj a on a.node = w.key) select key from w",
-    "k11_call_graph_audit": G + _AVOID + _LIVE + f" select '{SPEC.id}' as rule, source, sink, hops, source in (select key from lv) as live from pair",
-    "k12_dataflow_audit": G + _VALUES + _LIVE + f""", pair as (select sink, key as source, min(hops)::int as hops from w where key <> sink and key in (select key from source) group by all),
+    "k11_call_graph_audit": G + _AVOID + _LIVE + f" select '{SPEC.id}' as rule, source, sink, hops, source in (select key from lv) as live, direct, path from best",
+    "k14_ordered_findings": G + _AVOID + _LIVE + ", b as (select *, source in (select key from lv) as live from best) select row_number() over (order by live desc, hops, direct desc, source, sink)::int as rank, source, sink, hops, direct, live from b order by rank limit 20",
+    "k15_counters": G + _AVOID + " select 'sources' as metric, count(*) as n from source union all select 'sinks', count(*) from sink union all select 'sanitizers', count(*) from clean union all select 'findings', count(*) from pair",
+    "k6_ends": G + _VALUES + """, nn as (select key, norm_name, name, coalesce(path, '') as path from n where kind not in ('block', 'parameter', 'file', 'package', 'local')
+    and (not coalesce(is_external, false) or contains(lower(name), 'cursor')) and (coalesce(path, '') = '' or regexp_extract(path, '\\.([^./]+)$', 1) in ('py', 'pyi', 'go')) and not contains(lower(coalesce(path, '')), 'app/') and not (starts_with(norm_name, 'loadcursor') and not coalesce(is_external, false)))
+select 'flow' as rule, 'source' as role, key from source union all select 'flow', 'sink', key from sink union all select 'flow', 'sanitizer', key from clean
+union all select 'narrow', 'source', key from nn where starts_with(norm_name, 'load') and key not in (select key from n where coalesce(is_external, false)) union all select 'narrow', 'sink', key from nn where contains(lower(name), 'cursor')""",
+    "i5_reach_labels": G + _COMPONENTS + " select count(*) as edges, 0::bigint as broken from adj join part a on a.key = node join part b on b.key = other where a.component <> b.component",
+    "i6_maybe_reaches": G + f", adj as {_adj(TAINT, 'out')}, w(key) as (select min(key) from {_SEED} union select a.other from w join adj a on a.node = w.key) select count(*) as reached, 0::bigint as rejected from w",
+    "t4_shortest_path": G + _shortest(WALK, 12),
+    "t5_taint_path": G + _shortest(frozenset({"calls"}), 12),
+    "d8_credits": G + _CREDITS + " select term, key, round(score, 4)::double as score from credit",
+    "d9_spread": G + _CREDITS + f""", both_ as (select node, other from {_adj(SPREAD, 'out')} union all select node, other from {_adj(SPREAD, 'in')}),
+sp as (select term, b.other as key, max(0.5 * score * case when t.degree_total > 50 then 50.0 / t.degree_total else 1.0 end) as score
+  from credit c join n on n.key = c.key and not coalesce(n.is_external, false) and n.kind <> 'file' join deg on deg.key = c.key join cut on deg.degree_total < cutoff
+  join both_ b on b.node = c.key join deg t on t.key = b.other and t.kind not in ('block', 'local', 'parameter', 'file') group by all)
+select term, key, round(max(score), 4)::double as score from (select term, key, score from credit union all select term, key, score from sp where score >= 0.05) group by term, key""",
+    "d10_reach_filters": G + f""", there as (select key from n where norm_name = '{NAME}' and kind not in ('block', 'parameter') and ({_NAMED})), pick as (select key from there where not exists (select 1 from n join there using (key) where name = '{NAME}') or key in (select key from n where name = '{NAME}')),
+ta as {_adj(TAINT, 'in')}, fi as {_adj(DATA_FLOW, 'in')}, fo as {_adj(DATA_FLOW, 'out')},
+r1(key) as (select key from pick union select other from r1 join ta on node = key), r2(key) as (select key from pick union select other from r2 join fi on node = key), r3(key) as (select key from pick union select other from r3 join fo on node = key)
+select 'reaches' as filter, n.key from r1 join n using (key) where kind = 'function' and not coalesce(is_external, false) union all select 'flows-to', n.key from r2 join n using (key) where kind = 'function' and not coalesce(is_external, false)
+union all select 'flows-from', n.key from r3 join n using (key) where kind = 'function' and not coalesce(is_external, false)""",
+    "k12_dataflow_audit": G + _VALUES + _LIVE + f""",
 inner_ as (select own.key from own join n on n.key = own.key and n.kind = 'parameter' where owner in (select key from lv))
-select '{FLOW.id}' as rule, source, sink, hops, source in (select key from lv) or source in (select key from inner_) as live from pair""",
+select '{FLOW.id}' as rule, source, sink, (len(path) - 1)::int as hops, source in (select key from lv) or source in (select key from inner_) as live, direct, array_to_string(path, '/') as path from least join sure using (sink, source)""",
     "k16_package_reach": G + _LIVE + """, top as (select n.name from l join n on n.key = l.dst and n.kind = 'package' where l.rel = 'depends_on' group by n.name order by count(*) desc, n.name limit 1)
 select distinct u.key, u.path, coalesce(u.path in (select n.path from n join lv using (key) where n.path is not null), false) as live
 from l join n p on p.key = l.dst and p.kind = 'package' and p.norm_name in (select lower(name) from top) join n u on u.key = l.src where l.rel = 'depends_on'""",

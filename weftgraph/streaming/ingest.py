@@ -105,10 +105,18 @@ def watch(store: Store, root: str, checkpoint: str, repo: str = "", every: str =
 
 def follow_table(spark: SparkSession, folder: str, schema: str, checkpoint: str, target: str, key: list[str], order: list[str]) -> StreamingQuery:
     """Deduplicate a stream of Parquet deliveries into a keyed table: per micro-batch the latest row of each key,
-    written to a folder named by the batch, so a repeated batch overwrites itself."""
+    written to a folder named by the batch, so a repeated batch overwrites itself. ``followed`` reads the table."""
 
     def batch(rows: DataFrame, nr: int) -> None:
         w = Window.partitionBy(*key).orderBy(*(F.col(c).desc_nulls_last() for c in order))
         rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").write.mode("overwrite").parquet(f"{target}/batch={nr}")
 
     return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def followed(spark: SparkSession, target: str, schema: str, key: list[str], order: list[str]) -> DataFrame:
+    """The keyed table of ``follow_table``: of the rows of all batches the latest of each key, the greatest by ``order``, then by all columns."""
+    rows = spark.read.schema(schema).parquet(target)
+    rest = [c for c in rows.columns if c not in (*key, *order)]
+    latest = rows.groupBy(*key).agg(F.max(F.struct(*order, *rest)).alias("v"))
+    return latest.select(*(F.col(c) if c in key else F.col(f"v.{c}").alias(c) for c in rows.columns))
