@@ -143,3 +143,12 @@ def stats(g: Graph) -> DataFrame:
     cutoff = g.spark.createDataFrame([("hub_cutoff", g.hub_cutoff)], "metric string, value long")
     return long(n).unionByName(long(e)).unionByName(cutoff)
 
+
+
+def overview(g: Graph, parts: DataFrame | None = None, top: int = 10) -> DataFrame:
+    """(metric, name, value): ``stats``, the number of components, edges by relation and confidence, and the ``top`` hubs."""
+    parts = components(g) if parts is None else parts
+    out = stats(g).select("metric", F.lit("").alias("name"), "value")
+    out = out.unionByName(parts.agg(F.count_distinct("component").alias("value")).select(F.lit("components").alias("metric"), F.lit("").alias("name"), "value"))
+    out = out.unionByName(edge_histogram(g).select(F.concat(F.lit("edges by "), "grouping").alias("metric"), F.col("value").alias("name"), F.col("n").alias("value")))
+    return out.unionByName(hubs(g, top).select(F.lit("hub").alias("metric"), F.col("key").alias("name"), F.col("degree").cast("long").alias("value")))

@@ -177,6 +177,10 @@ def i13_stats(spark: SparkSession, d: str) -> DataFrame:
     return index.stats(open_or_build(spark, d))
 
 
+def i13_overview(spark: SparkSession, d: str) -> DataFrame:
+    return index.overview(open_or_build(spark, d))
+
+
 def t1_neighbors(spark: SparkSession, d: str) -> DataFrame:
     g = open_or_build(spark, d)
     return traverse.neighbors(g, g.nodes.where("kind = 'class'").select("key"), "both").select("key", "other", "rel", "line", "edge_id")
@@ -246,6 +250,11 @@ def d4_path_quality(spark: SparkSession, d: str) -> DataFrame:
     return open_or_build(spark, d).nodes.select("key", q.alias("quality")).where("quality is not null")
 
 
+def d12_scores(spark: SparkSession, d: str) -> DataFrame:
+    """All methods that fit, with their scores; the reasons are left out."""
+    return deep.deep_search(open_or_build(spark, d), TERMS, limit=None).select("key", "name", "path", "line", "score")
+
+
 def d12_deep_search(spark: SparkSession, d: str) -> DataFrame:
     hits = deep.deep_search(open_or_build(spark, d), TERMS, limit=50)
     return hits.withColumn("reasons", F.concat_ws("; ", "reasons"))
@@ -339,9 +348,9 @@ QUERIES = {
     for f in (
         v1_live_nodes, v2_canonical_nodes, v3_resolved_edges, v4_visible_nodes, v7_live_files, l1_exact_name_any, l2_name_with_stubs, l3_name, l4_prefix, l5_qualified_name,
         l6_search, l6_search_by_trigrams, l7_info, l8_parameters, l9_cfg, l11_counts, l12_explain, l13_ranked_search, i1_degrees, i2_hub_cutoff, i3_components, i4_condensation,
-        i5_reach_labels, i6_maybe_reaches, i7_name_postings, i8_trigrams, i9_degrees_after_delta, i11_hubs, i12_edge_histogram, i13_stats, t1_neighbors, t2_walk, t3_blast_radius, t4_shortest_path,
+        i5_reach_labels, i6_maybe_reaches, i7_name_postings, i8_trigrams, i9_degrees_after_delta, i11_hubs, i12_edge_histogram, i13_stats, i13_overview, t1_neighbors, t2_walk, t3_blast_radius, t4_shortest_path,
         t5_taint_path, t6_reachable_set, t7_paths_avoiding, t8_value_paths, t9_impact, t10_owner_chain, d2_subwords, d3_name_quality, d4_path_quality, d11_edge_filters,
-        d8_credits, d9_spread, d10_reach_filters, d12_deep_search, k1_matchers, k6_ends, k14_ordered_findings, k15_counters, k9_entrypoints, k10_live_set, k11_call_graph_audit, k12_dataflow_audit, k16_package_reach, k17_packages,
+        d8_credits, d9_spread, d10_reach_filters, d12_scores, d12_deep_search, k1_matchers, k6_ends, k14_ordered_findings, k15_counters, k9_entrypoints, k10_live_set, k11_call_graph_audit, k12_dataflow_audit, k16_package_reach, k17_packages,
     )
 }
 
@@ -483,6 +492,22 @@ def _credit(term: str, nr: int) -> str:
 
 _CREDITS = f", credit as (select term, key, max(score) as score from ({_credit('cursor', 0)} union all {_credit('packet', 1)}) group by term, key)"
 
+
+
+def _spread_sql(nr: int, before: str, share: float) -> str:
+    """The scores of ``found<nr>`` after hop ``nr`` from the frontier ``before``."""
+    return f""", sp{nr} as (select term, b.other as key, max({share} * score * case when t.degree_total > 50 then 50.0 / t.degree_total else 1.0 end) as score
+  from {before} c join n on n.key = c.key and not coalesce(n.is_external, false) and n.kind <> 'file' join deg on deg.key = c.key join cut on deg.degree_total < cutoff
+  join both_ b on b.node = c.key join deg t on t.key = b.other and t.kind not in ('block', 'local', 'parameter', 'file') group by all),
+better{nr} as (select s.term, s.key, s.score from sp{nr} s left join found{nr - 1} f using (term, key) where s.score >= 0.05 and (f.score is null or s.score > f.score)),
+found{nr} as (select term, key, max(score) as score from (select * from found{nr - 1} union all select * from better{nr}) group by term, key)"""
+
+
+_SPREAD_TWICE = (
+    f", both_ as (select node, other from {_adj(SPREAD, 'out')} union all select node, other from {_adj(SPREAD, 'in')}), found0 as (select term, key, score from credit)"
+    + _spread_sql(1, "found0", 0.5) + _spread_sql(2, "better1", 0.25)
+)
+
 _LIVE = f", flow_ as {_adj(CALL_FLOW, 'out')}, lv(key) as (select key from {_ENTRY} union select a.other from lv join flow_ a on a.node = lv.key)"
 
 _COMPONENTS = f""", adj as (select distinct node, other from {_adj(TAINT, 'out')}),
@@ -592,6 +617,12 @@ sp as (select term, b.other as key, max(0.5 * score * case when t.degree_total >
   from credit c join n on n.key = c.key and not coalesce(n.is_external, false) and n.kind <> 'file' join deg on deg.key = c.key join cut on deg.degree_total < cutoff
   join both_ b on b.node = c.key join deg t on t.key = b.other and t.kind not in ('block', 'local', 'parameter', 'file') group by all)
 select term, key, round(max(score), 4)::double as score from (select term, key, score from credit union all select term, key, score from sp where score >= 0.05) group by term, key""",
+    "d12_scores": G + _CREDITS + _SPREAD_TWICE + """, total as (select key, sum(score) as score, count(*) as n from found2 group by key)
+select n.key, n.name, n.path, n.line, round(total.score + 0.5 * (total.n - 1) + ln(1.0 + degree_total) / 40, 4)::double as score from total join n using (key) join deg on deg.key = n.key where n.kind = 'method' and not coalesce(n.is_external, false)""",
+    "i13_overview": G + _COMPONENTS + """, st as (select 'symbols' as metric, '' as name, count(*)::bigint as value from n union all select 'segments', '', count(distinct segment_id) from n union all select 'external', '', count(*) from n where is_external
+union all select 'files', '', count(*) from n where kind = 'file' union all select 'edges', '', count(*) from l union all select 'relations', '', count(distinct rel) from l union all select 'hub_cutoff', '', cutoff from cut
+union all select 'components', '', count(distinct component) from part union all select 'edges by rel', rel, count(*) from l group by rel union all select 'edges by conf', conf, count(*) from l group by conf)
+select * from st union all select * from (select 'hub', n.key, degree_total::bigint from n join deg using (key) where n.kind not in ('file', 'parameter', 'block', 'local') order by degree_total desc, n.key limit 10)""",
     "d10_reach_filters": G + f""", there as (select key from n where norm_name = '{NAME}' and kind not in ('block', 'parameter') and ({_NAMED})), pick as (select key from there where not exists (select 1 from n join there using (key) where name = '{NAME}') or key in (select key from n where name = '{NAME}')),
 ta as {_adj(TAINT, 'in')}, fi as {_adj(DATA_FLOW, 'in')}, fo as {_adj(DATA_FLOW, 'out')},
 r1(key) as (select key from pick union select other from r1 join ta on node = key), r2(key) as (select key from pick union select other from r2 join fi on node = key), r3(key) as (select key from pick union select other from r3 join fo on node = key)

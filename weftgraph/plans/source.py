@@ -46,6 +46,24 @@ def x9_imports(spark: SparkSession, d: str) -> DataFrame:
     return f.where("rec = 'import'").where(language_of(F.col("path")).isin("go", "ruby", "java", "csharp", "c", "cpp", "rust")).select("path", F.col("name").alias("spec"), "line").distinct()
 
 
+def x11_branches(spark: SparkSession, d: str) -> DataFrame:
+    """How often each condition of a branch or loop stands in the control flow of Go and Rust files."""
+    f = extract(_texts(spark, d)).where("rec = 'succ' and text like 'then: %'").where(language_of(F.col("path")).isin("go", "rust"))
+    return f.groupBy("path", F.substring("text", 7, 1 << 20).alias("condition")).agg(F.count("*").alias("n"))
+
+
+def x15_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of plain names in Go and C files, by line."""
+    f = extract(_texts(spark, d)).where("rec = 'call' and coalesce(text, '') = ''").where(language_of(F.col("path")).isin("go", "c"))
+    return f.select("path", "name", "line")
+
+
+def x20_locals(spark: SparkSession, d: str) -> DataFrame:
+    """The locals of Rust functions and how many blocks define them."""
+    f = extract(_texts(spark, d)).where(language_of(F.col("path")) == "rust")
+    return f.where("rec = 'symbol' and kind = 'local'").select("path", F.array_join("scope", ".").alias("function"), "name")
+
+
 def r1_keys(spark: SparkSession, d: str) -> DataFrame:
     n = open_or_build(spark, d).nodes
     key = symbol_key(F.col("repo"), F.col("path"), F.col("kind"), F.array_join(F.coalesce("scope", F.array().cast("array<string>")), "/"), fold_name(F.col("name")), F.lit(0))
@@ -99,7 +117,7 @@ def y3_differences(spark: SparkSession, d: str) -> DataFrame:
     return gone.unionByName(new).unionByName(lost).unionByName(found)
 
 
-QUERIES = {f.__name__: f for f in (s3_languages, s9_segment_edges, s13_store, x1_definitions, x2_parameters, x9_imports, r1_keys, r3_packages, y3_differences)}
+QUERIES = {f.__name__: f for f in (s3_languages, s9_segment_edges, s13_store, x1_definitions, x2_parameters, x9_imports, x11_branches, x15_calls, x20_locals, r1_keys, r3_packages, y3_differences)}
 
 _LANG = "case " + " ".join(f"when regexp_extract(path, '\\.([^./]+)$', 1) in ({', '.join(repr(e) for e in exts)}) then '{lang}'" for lang, exts in EXTENSIONS.items()) + " end"
 _LINES = f"""with f as (select file_id, arg_max(path, segment_id) as path from files group by file_id),
@@ -131,7 +149,16 @@ ORACLE = {
 p as (select path, lang, line, function, string_split(regexp_extract(x, function || '\\s*\\(([^)]*)\\)', 1), ',') as a from m where function <> ''),
 q as (select path, lang, function, line, unnest(range(len(a)))::int as position, unnest(a) as v from p)
 select path, function, line, 0 as position, regexp_extract(x, '^func \(([a-z]\w*) ', 1) as name from m where lang = 'go' and function <> '' and regexp_extract(x, '^func \(([a-z]\w*) ', 1) <> ''
-union all select path, function, line, position + coalesce((select 1 from m where m.path = q.path and m.line = q.line and regexp_matches(x, '^func \(')), 0)::int, case when lang in ('go', 'rust') then regexp_extract(v, '(\\w+)', 1) else regexp_extract(v, '(\\w+)\\W*$', 1) end as name from q where trim(v) <> ''""",
+union all select path, function, line, position + coalesce((select 1 from m where m.path = q.path and m.line = q.line and regexp_matches(x, '^func \\(')), 0)::int, case when lang in ('go', 'rust') then regexp_extract(v, '(\\w+)', 1) else regexp_extract(v, '(\\w+)\\W*$', 1) end as name from q where trim(v) <> ''""",
+    "x11_branches": _LINES + r""", m as (select path, rtrim(regexp_extract(x, '^\s+(?:} else )?(?:if|for|while) (.*) \{\s*$', 1)) as condition from s where lang in ('go', 'rust')) select path, condition, count(*) as n from m where condition <> '' group by all""",
+    "x15_calls": _LINES
+    + r""", m as (select path, line, unnest(regexp_extract_all(regexp_replace(regexp_replace(x, '"[^"]*"', '', 'g'), '//.*$', ''), '(?:^|[^\w.>])(\w+)\s*\(', 1)) as name from s where lang in ('go', 'c') and not regexp_matches(x, '^(?:func|static|int|void|char|#)'))
+select path, name, line from m where name not in ('if', 'for', 'while', 'switch', 'return', 'func', 'sizeof')""",
+    "x20_locals": _LINES
+    + r""", m as (select path, line, regexp_extract(x, '^\s*(?:pub )?fn (\w+)', 1) as f, regexp_extract(x, '\(([^)]*)\)', 1) as p, regexp_extract(x, '^\s+let (?:mut )?(\w+)', 1) as a, regexp_extract(x, '^\s+for (\w+) in', 1) as b from s where lang = 'rust'),
+g as (select *, arg_max(f, line) filter (f <> '') over w as function, arg_max(p, line) filter (f <> '') over w as params from m window w as (partition by path order by line)),
+v as (select distinct path, function, params, case when a <> '' then a else b end as name from g where a <> '' or b <> '')
+select path, function, name from v where not regexp_matches(params, '(^|\W)' || name || '\s*:')""",
     "r1_keys": G
     + """, k as (select key, path, kind, coalesce(repo, '') as repo, coalesce(array_to_string(scope, '/'), '') as scope, coalesce(lower(regexp_replace(trim(name), '(\\(\\))+$', '')), '') as folded, lower(regexp_replace(trim(name), '(\\(\\))+$', '')) as fold0 from n)
 select key, substr(sha256(length(repo) || ':' || repo || length(coalesce(path, '')) || ':' || coalesce(path, '') || length(kind) || ':' || kind || length(scope) || ':' || scope || length(folded) || ':' || folded || '1:0'), 1, 32) as minted, fold0 as folded from k""",
