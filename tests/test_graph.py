@@ -90,7 +90,9 @@ def test_paths_avoiding(spark, case):
     assert traverse.taint_path(g, ["n02"], ["n02"]) == ["n02"]
 
 
-def test_components(spark, case):
+@pytest.mark.parametrize("finish", [0, 500_000])
+def test_components(spark, case, monkeypatch, finish):
+    monkeypatch.setattr(index, "FINISH_EDGES", finish)
     g, nodes, pairs = case
     part = {r.key: r.component for r in index.components(g).collect()}
     reach = {k: set(bfs(pairs, [k], {"calls"})[0]) for k, *_ in nodes}

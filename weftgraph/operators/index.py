@@ -2,15 +2,99 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, small
+from ..session import counted, cut, ship, small
 from ..vocab import TAINT
 from .view import Graph
 
+#: Edges up to which what is left of a graph is finished by one task; beyond it everything goes in rounds of joins.
+FINISH_EDGES = 500_000
+
+
+def _in_one_task(df: DataFrame, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``f`` of all rows of ``df``, whose number has been checked, in one task."""
+    ship(df)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        if rows:
+            yield from f(pa.Table.from_batches(rows)).to_batches()
+
+    return df.coalesce(1).mapInArrow(run, schema)
+
+
+def strong_components(ways: dict[str, list[str]]) -> list[list[str]]:
+    """The strongly connected components of a graph given by its ways (every node is a key), each after all it leads to."""
+    number: dict[str, int] = {}
+    least: dict[str, int] = {}
+    on: set[str] = set()
+    stack: list[str] = []
+    out = []
+    for root in ways:
+        if root in number:
+            continue
+        work = [(root, iter(ways[root]))]
+        number[root] = least[root] = len(number)
+        stack.append(root)
+        on.add(root)
+        while work:
+            node, rest = work[-1]
+            for to in rest:
+                if to not in number:
+                    number[to] = least[to] = len(number)
+                    stack.append(to)
+                    on.add(to)
+                    work.append((to, iter(ways[to])))
+                    break
+                if to in on:
+                    least[node] = min(least[node], number[to])
+            else:
+                work.pop()
+                if work:
+                    least[work[-1][0]] = min(least[work[-1][0]], least[node])
+                if least[node] == number[node]:
+                    part = []
+                    while not part or part[-1] != node:
+                        part.append(stack.pop())
+                        on.discard(part[-1])
+                    out.append(part)
+    return out
+
+
+def _ways(table: pa.Table, a: str, b: str) -> dict[str, list[str]]:
+    ways: dict[str, list[str]] = {}
+    for x, y in zip(table[a].to_pylist(), table[b].to_pylist()):
+        ways.setdefault(x, [])
+        if y is not None:
+            ways.setdefault(y, [])
+            if x != y:
+                ways[x].append(y)
+    return ways
+
+
+def _finish_components(table: pa.Table) -> pa.Table:
+    parts = strong_components(_ways(table, "node", "other"))
+    return pa.table({"key": [k for p in parts for k in p], "component": [c for p in parts for c in [min(p)] * len(p)]})
+
+
+def _finish_labels(table: pa.Table) -> pa.Table:
+    """Intervals of a condensation: rows of nodes (src, lo, hi) and of edges (src, dst)."""
+    lo, hi = {}, {}
+    for x, a, b in zip(table["src"].to_pylist(), table["lo"].to_pylist(), table["hi"].to_pylist()):
+        if a is not None:
+            lo[x], hi[x] = a, b
+    ways = _ways(table, "src", "dst")
+    for (node,) in strong_components(ways):  # there is no cycle left, and what a node leads to comes first
+        for to in ways[node]:
+            lo[node], hi[node] = [*map(min, lo[node], lo[to])], [*map(max, hi[node], hi[to])]
+    return pa.table({"c": list(lo), "lo": list(lo.values()), "hi": list(hi.values())}, pa.schema([("c", pa.string()), ("lo", pa.list_(pa.int64())), ("hi", pa.list_(pa.int64()))]))
+
 
 def hubs(g: Graph, top: int = 10) -> DataFrame:
     """The ``top`` symbols by degree, ties by key; files, parameters, blocks and locals are none, stubs and packages may be."""
@@ -35,14 +119,19 @@ def components(g: Graph, mask: frozenset[str] = TAINT) -> DataFrame:
 
     Nodes that nothing leads to or that lead nowhere are trimmed first, as often as there are any: each is a
     component of its own. What is left is split by colours: the least key that reaches a node colours it, and
-    the nodes of a colour that reach its root backwards are the root's component. Repeats on the rest.
+    the nodes of a colour that reach its root backwards are the root's component. Repeats on the rest; as soon as
+    that has no more than FINISH_EDGES edges, one task finishes it.
     """
-    e = cut(g.adjacency(mask).where("node <> other").select("node", "other").distinct())
+    e, n = counted(g.adjacency(mask).where("node <> other").select("node", "other").distinct())
     done: list[DataFrame] = []
-    nodes = cut(e.select(F.explode(F.array("node", "other")).alias("key")).distinct())
+    nodes, left = counted(e.select(F.explode(F.array("node", "other")).alias("key")).distinct())
     alone = g.nodes.select("key").join(nodes, "key", "left_anti")
     done.append(alone.select("key", F.col("key").alias("component")))
-    while not nodes.isEmpty():
+    while left:
+        if max(n, left) <= FINISH_EDGES:
+            rows = e.unionByName(nodes.select(F.col("key").alias("node"), F.lit(None).cast("string").alias("other")))
+            done.append(cut(_in_one_task(rows, _finish_components, "key string, component string")))
+            break
         # trim
         while True:
             core = e.select(F.col("node").alias("key")).distinct().intersect(e.select(F.col("other").alias("key")).distinct())
@@ -67,9 +156,9 @@ def components(g: Graph, mask: frozenset[str] = TAINT) -> DataFrame:
                 break
             seen = cut(seen.unionByName(frontier))
         done.append(cut(colour.join(seen, "key").select("key", F.col("colour").alias("component"))))
-        nodes = cut(nodes.join(seen, "key", "left_anti"))
+        nodes, left = counted(nodes.join(seen, "key", "left_anti"))
         k = nodes.select(F.col("key").alias("node"))
-        e = cut(e.join(k, "node", "left_semi").join(k.withColumnRenamed("node", "other"), "other", "left_semi").select("node", "other"))
+        e, n = counted(e.join(k, "node", "left_semi").join(k.withColumnRenamed("node", "other"), "other", "left_semi").select("node", "other"))
     return reduce(DataFrame.unionByName, done)
 
 
@@ -97,11 +186,17 @@ def reach_labels(g: Graph, parts: DataFrame, mask: frozenset[str] = TAINT, k: in
 
     Each node of the condensation gets ``k`` pseudo-random ranks; the interval spans the ranks of all nodes it
     reaches, found by passing the least and greatest along the edges until nothing changes. If one of b's
-    intervals isn't inside a's, a does not reach b; the other way nothing follows.
+    intervals isn't inside a's, a does not reach b; the other way nothing follows. A condensation of at most FINISH_EDGES nodes and edges is
+    done by one task.
     """
-    e = cut(condensation(g, parts, mask))
+    e, n = counted(condensation(g, parts, mask))
     rank = [F.xxhash64(F.lit(i), F.col("component")) for i in range(k)]
-    lab = cut(parts.select("component").distinct().select(F.col("component").alias("c"), F.array(*rank).alias("lo"), F.array(*rank).alias("hi")))
+    lab, size = counted(parts.select("component").distinct().select(F.col("component").alias("c"), F.array(*rank).alias("lo"), F.array(*rank).alias("hi")))
+    if n + size <= FINISH_EDGES:
+        none = F.lit(None).cast("array<bigint>")
+        rows = lab.select(F.col("c").alias("src"), F.lit(None).cast("string").alias("dst"), "lo", "hi").unionByName(e.select("src", "dst", none.alias("lo"), none.alias("hi")))
+        lab = cut(_in_one_task(rows, _finish_labels, "c string, lo array<bigint>, hi array<bigint>"))
+        return parts.join(lab, parts["component"] == lab["c"]).select("key", "lo", "hi")
     changed = lab
     each = lambda a, pick: [pick(F.col(a)[i]).alias(f"{a}{i}") for i in range(k)]
     while True:
