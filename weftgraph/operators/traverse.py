@@ -280,7 +280,8 @@ def path_edges(g: Graph, paths: DataFrame, mask: frozenset[str], path: str = "pa
     ident = F.xxhash64(path, *[c for c in paths.columns if c != path])
     p = paths.withColumn("_id", ident)
     hops = p.select("_id", F.posexplode(F.expr(f"transform(sequence(1, greatest(size({path}) - 1, 1)), i -> struct(element_at({path}, i) as src, try_element_at({path}, i + 1) as dst))")).alias("at", "h")).select("_id", "at", "h.*")
-    e = g.links.where(F.col("rel").isin(*sorted(mask))).groupBy("src", "dst").agg(F.min(F.struct("rel_id", "edge_id", "conf")).alias("e"))
+    used, n = counted(hops.where("dst is not null").select("src", "dst").distinct())
+    e = g.links.where(F.col("rel").isin(*sorted(mask))).join(small(used, known=n), ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.min(F.struct("rel_id", "edge_id", "conf")).alias("e"))
     ok = hops.where("dst is not null").join(e, ["src", "dst"], "left").groupBy("_id").agg(F.bool_and(F.coalesce(F.col("e.conf") == "EXTRACTED", F.lit(False))).alias("direct"))
     return p.join(ok, "_id", "left").drop("_id").withColumn("direct", F.coalesce("direct", F.lit(True)))
 
