@@ -208,3 +208,24 @@ def test_structural_implements(spark):
     rows = [("I", True, "open", 1), ("I", True, "close", 0), ("T", False, "open", 1), ("T", False, "close", 0), ("T", False, "x", 0), ("U", False, "open", 2), ("U", False, "close", 0)]
     df = spark.createDataFrame(rows, "owner string, is_interface boolean, norm string, arity int")
     assert [tuple(r) for r in resolve.structural_implements(df).collect()] == [("T", "I")]
+
+
+def test_owner_chain_cycle(spark):
+    """Owners that own each other end the chain; a chain of more than 16 owners is whole."""
+    keys = [f"k{k:02}" for k in range(24)]
+    links = [edge(a, b, "contains") for a, b in zip(keys, keys[1:])] + [edge("x", "y", "contains"), edge("y", "x", "contains")]
+    g = make(spark, [(k, "class", k) for k in [*keys, "x", "y"]], links)
+    got = {r.key: r.chain for r in traverse.owner_chain(g, g.nodes.select("key")).collect()}
+    assert got["k23"] == keys[:23] and got["x"] == ["y"] and got["y"] == ["x"]
+    assert {r.key: len(r.chain) for r in traverse.owner_chain(g, g.nodes.where("key = 'k23'").select("key"), most=3).collect()} == {"k23": 3}
+
+
+def test_limits_are_off_by_default(spark):
+    """A node wider than a hundred is expanded by impact, and every match of a term spreads, unless limits are given."""
+    leaves = [f"leaf{k:03}" for k in range(450)]
+    links = [edge(leaf, "hub") for leaf in leaves] + [edge(f"top{k:03}", leaf) for k, leaf in enumerate(leaves)]
+    g = make(spark, [(k, "function", k) for k in ["hub", *leaves, *(f"top{k:03}" for k in range(450))]], links).kept()
+    root = spark.createDataFrame([("hub",)], "key string")
+    assert traverse.impact(g, root).count() == 900 and traverse.impact(g, root, fanout=100).count() == 0 and traverse.impact(g, root, most=7).count() == 7
+    spread = lambda text: deep.deep_search(g, text, limit=None).where("name like 'top%'").count()
+    assert spread("leaf") == 450 and spread("leaf seeds:20") == 20 and spread("leaf widest:400") == 0
