@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small
 from ..vocab import OWNS, fold
 from .view import Graph
 
@@ -69,9 +70,8 @@ def by_qualified_name(g: Graph, text: str) -> DataFrame:
         members = g.nodes.where((F.col("norm_name") == fold(member)) & (F.col("kind") != "block"))
         found = members.join(links.join(own, "src").groupBy("key").agg(F.bool_or(F.col("_as") == owner).alias("_as")), "key")
         found = found.withColumn("_exact", F.col("_as") & (F.col("name") == member)).drop("_as")
-    best = Window.partitionBy(F.lit(0))
-    found = found.withColumns({"_any": F.max("_exact").over(best), "_n": F.count("*").over(best)})
-    return found.where((F.col("_n") <= 1) | ~F.col("_any") | F.col("_exact")).drop("_exact", "_any", "_n")
+    one = F.broadcast(found.agg(F.max("_exact").alias("_any"), F.count("*").alias("_n")))  # one row
+    return found.join(one, (F.col("_n") <= 1) | ~F.col("_any") | F.col("_exact")).drop("_exact", "_any", "_n")
 
 
 def search(g: Graph, text: str, stubs: bool = True) -> DataFrame:
@@ -98,7 +98,8 @@ def search_with_index(g: Graph, index: DataFrame, text: str) -> DataFrame:
     if not grams:
         return search(g, text)
     hits = index.where(F.col("gram").isin(*grams)).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
-    return search(g, text).join(hits.select("key"), "key", "left_semi")
+    there = g.nodes.join(small(hits.select("key")), "key", "left_semi").select(g.nodes.columns)
+    return there.where(F.col("norm_name").contains(t) | F.lower("path").contains(t))
 
 
 def info(g: Graph, found: DataFrame) -> DataFrame:
